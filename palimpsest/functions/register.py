@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ def register(spark: SparkSession) -> None:
 
 
 def _vector(f):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def g(s: pd.Series) -> pd.Series:
         return s.map(lambda v: v is not None and bool(f(v))).astype(bool)
