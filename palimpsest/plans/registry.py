@@ -425,6 +425,55 @@ def decode_text(spark, sf_dir):
     return spark.createDataFrame(rows, "id long, content binary").select("id", files.decode(F.col("content")).alias("text"))
 
 
+# --- the engine on made-up documents ---------------------------------------------------------------------------
+def scrubbed(name: str, text: str, want: str, **switches) -> None:
+    """Register the whole engine over a document per nation; ``want`` is its text in DuckDB."""
+
+    def run(spark, sf_dir):
+        from ..operators.scrub import scrub
+
+        docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_ord"), F.expr(text).alias("text"))
+        return scrub(docs, None, Options(allowlist=frozenset(ALLOW), **switches)).documents.select("file_ord", "text")
+
+    run.__name__ = name
+    query(f"select cast(n_nationkey as bigint) as file_ord, {want} as text from nation")(run)
+
+
+NUMBER = "printf('%03d', n_nationkey + 1)"
+scrubbed("name_scrub", f"concat('| Reporter | ', {PERSON}, ' |\nthen ', lower({PERSON}), ' called ', {PERSON})", f"concat('| Reporter | PERSON_', {NUMBER}, ' |\nthen PERSON_', {NUMBER}, ' called PERSON_', {NUMBER})", expand_name_parts=False)
+scrubbed("org_scrub", "concat('Esprit and DUSTIN of ', cast(n_nationkey as string))", "concat('ORG_001 and ORG_002 of ', cast(n_nationkey as string))", orgs=("Esprit", "Dustin", "Absent"))
+scrubbed("username_scrub", "concat('<sys_created_by>User', cast(n_nationkey as string), '</sys_created_by> by user', cast(n_nationkey as string))", f"concat('<sys_created_by>username_', {NUMBER}, '</sys_created_by> by username_', {NUMBER})")
+scrubbed("login_scrub", "concat('<sysevent><name>login</name><parm1>usr', cast(n_nationkey as string), '</parm1><parm2>10.0.0.1</parm2></sysevent>')", f"concat('<sysevent><name>login</name><parm1>username_', {NUMBER}, '</parm1><parm2>10.0.0.1</parm2></sysevent>')")
+scrubbed("name_address_scrub", f"concat('From: ', {PERSON}, ' <u', cast(n_nationkey as string), '@corp.example>, noreply@example.org')", f"concat('From: PERSON_', {NUMBER}, ' <user_', {NUMBER}, '@example.test>, noreply@example.org')")
+scrubbed("csv_scrub", f"concat('naam,email\n', {PERSON}, ',u', cast(n_nationkey as string), '@corp.example\n')", f"concat('naam,email\nPERSON_', {NUMBER}, ',user_', {NUMBER}, '@example.test\n')", expand_name_parts=False)
+scrubbed("technical_scrub", "concat('host: srv', cast(n_nationkey as string), '\nsee /tmp/f', cast(n_nationkey as string), ' of 10.1.2.', cast(n_nationkey as string), '\ngit log ', cast(n_nationkey as string))", f"concat('host: MACHINE_', {NUMBER}, '\nsee PATH_', {NUMBER}, ' of 203.0.113.', cast(n_nationkey + 2 as string), '\nCMD_', {NUMBER})", ip=True, machines=True, paths=True, commands=True)
+scrubbed("value_scrub", "concat('mac 00:1B:44:11:3A:', lpad(cast(n_nationkey as string), 2, '0'), ' tel +31 6 123456', lpad(cast(n_nationkey as string), 2, '0'), ' dob: 2001-02-03')", f"concat('mac 00:00:5e:00:53:', printf('%02x', n_nationkey + 1), ' tel PHONE_', {NUMBER}, ' dob: 1900-01-02')")
+
+
+@query()
+def irreversible_scrub(spark, sf_dir):
+    """Keyed digests in place of numbers; no map is kept."""
+    from ..operators.scrub import scrub
+
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_ord"), F.expr("concat('u', cast(n_nationkey as string), '@corp.example')").alias("text"))
+    return scrub(docs, None, Options(irreversible=True, secret=b"bench")).documents.select("file_ord", "text")
+
+
+@query()
+def find_pii_table_function(spark, sf_dir):
+    """The table function over the documents: kinds, values and places."""
+    from ..functions.register import FindPii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.lateralJoin(FindPii(F.col("text").outer())).select("doc_id", "kind", "value", "start", "end")
+
+
+@query("select doc_id, contains(text, '-----BEGIN ') or regexp_matches(text, '(?im)^(?:[\\$>]+\\s*)?(?:py(?:thon)?(?:\\s+-3)?|powershell|pwsh|Get-Content|curl|git|npm|node|bash|sh)\\b') or regexp_matches(text, '(?i)\\b(?:hostname|host|machine(?:-|\\s)?name|computer(?:\\s+name)?)\\s*[:=]\\s*\\S') or regexp_matches(text, '(^|[^@\\w:])/(?:home|Users|tmp|opt|var|mnt)/[^\\s\"''<>|\\r\\n]+') or regexp_matches(text, '(^|[^@\\w])[A-Za-z]:\\\\[^\\s\"''<>|\\r\\n]+') as technical from documents where text is not null")
+def technical_risk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", C.looks_technical(F.col("text")).alias("technical"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
