@@ -7,15 +7,19 @@
    the least id; only these representatives go on, so a group of copies of any size is
    one node.
 3. Candidates: in each band bucket every member is paired with the bucket's least member
-   (a star, linear in the bucket). Buckets whose members do not all end up in one
-   component are then compared exhaustively, in square blocks of bounded size and on
-   packed signatures only; no pair is emitted unless its estimate passes.
-4. Estimate: with C = 2^-b chance agreement of b-bit values, similarity is
-   (equal share - C) / (1 - C). Pairs whose estimate lies ``slack`` below the threshold
-   (over five standard deviations) are dropped.
-5. Confirmation: the shingle sets of both texts are built again and compared in full.
-6. Components: large-star / small-star contraction over the confirmed links, each round
-   written to the shared folder.
+   (a star, linear in the bucket). With C = 2^-b chance agreement of b-bit values,
+   similarity is (equal share - C) / (1 - C); pairs whose estimate lies ``slack`` below the
+   threshold (over five standard deviations) are dropped. What is left hangs together in
+   clusters.
+4. Each member of a cluster is compared in full with the cluster's least member: whether
+   they are linked, and a bitmap of the shingles of the least member that it has.
+5. Buckets whose members are not all linked to the same one are then compared
+   exhaustively, in square blocks of bounded size: by the estimate, and by an exact bound,
+   as two sets share no more than the common bits of their bitmaps and the shingles that
+   are in no bitmap and not in one document alone. No pair is emitted unless it passes
+   both; the few that do are confirmed on their full sets, built again from the texts.
+6. Components: large-star / small-star contraction, each round written to the shared
+   folder.
 
 A pair exactly at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6,
 one at 0.85 with 7e-9.
@@ -175,40 +179,53 @@ def _passing(pairs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.join(ids, "doc_id", "left_semi")
-    # an id that stands on several rows is one node; its representative's text is the least by hash
-    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    texts = stash(texts, "texts")
+#: Up to so many ids go to every executor (some 30 MB); more meet the documents by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _by_id(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents with (left_semi) or without (left_anti) one of these ids, a column ``doc_id``.
+
+    While the ids are few, counted, texts stay where they are.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def _compared(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked, bits): whether 100 * intersection >= percent * union on the full sets,
+    and which of a's sorted shingles b has."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = _by_id(documents, ids, "left_semi")
+    # an id that stands on several rows is one node; its text is the least by hash
+    texts = stash(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()  # sets of star centres recur
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()  # sets of cluster heads recur
 
-        def of(i: int, column: pa.Array, row: int) -> np.ndarray:
+        def of(i: int, text: pa.Scalar) -> np.ndarray:
             if i not in kept:
-                kept[i] = shingle_set(column[row].as_buffer().to_pybytes(), shingle)
+                kept[i] = shingle_set(text.as_py(), shingle)
                 if len(kept) > 32:
                     kept.popitem(last=False)
-            else:
-                kept.move_to_end(i)
+            kept.move_to_end(i)
             return kept[i]
 
         for t in batches:
-            a, b = t.column(0).to_pylist(), t.column(1).to_pylist()
             x, y = t.column(2).cast(pa.binary()), t.column(3).cast(pa.binary())
-            keep = []
-            for row, (i, j) in enumerate(zip(a, b, strict=True)):
-                s, u = of(i, x, row), shingle_set(y[row].as_py(), shingle)
-                both_n = len(np.intersect1d(s, u, assume_unique=True))
-                keep.append(100 * both_n >= percent * (len(s) + len(u) - both_n))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
-
-    out = stash(both.select("a", "b", "t", "u").mapInArrow(run, "a long, b long"), "links")
+            linked, bits = [], []
+            for row, i in enumerate(t.column(0).to_pylist()):
+                s, u = of(i, x[row]), shingle_set(y[row].as_py(), shingle)
+                has = np.zeros(len(s), bool)
+                has[np.intersect1d(s, u, assume_unique=True, return_indices=True)[1]] = True
+                n = int(has.sum())
+                linked.append(100 * n >= percent * (len(s) + len(u) - n))
+                bits.append(np.packbits(has).tobytes())
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(linked, pa.bool_()), pa.array(bits, pa.binary())], names=["a", "b", "linked", "bits"])
+
+    out = stash(both.select("a", "b", "t", "u").mapInArrow(run, "a long, b long, linked boolean, bits binary"), "compared")
     drop_stash(texts)
     return out
 
@@ -241,35 +258,63 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _rest_of_buckets(buckets: DataFrame, labels: DataFrame, reps: DataFrame, limit: int, block: int) -> DataFrame:
-    """Pairs across components that share a bucket, none of them its least member."""
-    rows = buckets.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("pivot"), F.count("*").alias("m"))
-    mixed = mixed.filter("lo != hi and m > 2").select("key", "pivot", "m")
-    rows = rows.join(mixed, "key").filter("rep != pivot").join(reps.select("rep", "sig"), "rep")
+def _own_shingles(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(rep, n, own): set sizes of these documents, and how many shingles no other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                s = shingle_set(t, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], names=["rep", "hash"])
+
+    some = _by_id(documents, ids.select(F.col("rep").alias("doc_id")), "left_semi").select("doc_id", "text")
+    rows = some.mapInArrow(run, "rep long, hash long")
+    alone = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, documents: DataFrame, shingle: int, percent: int, limit: int, block: int) -> DataFrame:
+    """Pairs that share a bucket under different labels and pass the estimate and the exact bound.
+
+    ``labels``: rep, label, head, bits. Shingles in one document alone can't be shared; of
+    the others, those in the head's set are told by the bitmaps.
+    """
+    rows = members.join(labels.select("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
+    rows = stash(rows.join(mixed, "key"), "mixed")
+    here = rows.select("rep").distinct()
+    heads = labels.join(here, "rep", "left_semi").select(F.col("head").alias("rep"))
+    own = _own_shingles(documents, here.union(heads).distinct(), shingle)
+    facts = reps.join(here, "rep", "left_semi").join(own, "rep", "left").join(labels.select("rep", "head", "bits"), "rep", "left")
+    facts = facts.select("rep", "sig", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("head", F.lit(-1)).alias("head"), F.coalesce("bits", F.lit(b"")).alias("bits"))
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "rep", "sig")
+    rows = rows.join(facts, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "label", "rep", "n_shingles", "own", "head", "sig", "bits")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for t in batches:
-            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            cols.append(np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint64).reshape(-1, WORDS))
+            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            cols.append(np.frombuffer(b"".join(t.column(9).to_pylist()), dtype=np.uint64).reshape(-1, WORDS))
+            cols.append(np.array([*t.column(10).to_pylist(), None], dtype=object)[:-1])
             if held is not None:
                 cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
             key, i, j = cols[:3]
             same = (key == key[-1]) & (i == i[-1]) & (j == j[-1]) if len(key) else np.zeros(0, bool)
             cut = len(key) - int(same.sum())  # the last group may go on in the next batch
             held = [c[cut:] for c in cols]
-            yield from pairs([c[:cut] for c in cols])
+            for at in _whole_groups(cols[:3], cut):
+                yield from pairs([c[at] for c in cols])
         if held is not None:
             yield from pairs(held)
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, i, j, own, comp, rep, sig = cols
+        key, i, j, mine, label, rep, n, own, head, sig, raw = cols
+        width = -(-max([1, *map(len, raw)]) // 8) * 8
+        bits = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), dtype=np.uint64).reshape(len(raw), -1)
+        common = n - own
+        rest = common - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # neither in the head's set nor alone
         step = 1
         while step < len(key):
             a, b = slice(None, -step), slice(step, None)
@@ -277,16 +322,33 @@ def _rest_of_buckets(buckets: DataFrame, labels: DataFrame, reps: DataFrame, lim
             if not group.any():
                 return
             # two members of one block meet in that block's own square only
-            at = np.flatnonzero(group & (comp[a] != comp[b]) & ((own[a] != own[b]) | (i[a] == j[a])))
-            if len(at):
-                at = at[unequal_values(sig[at] ^ sig[at + step]) <= limit]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[at + step])], names=["a", "b"])
+            x = np.flatnonzero(group & (label[a] != label[b]) & ((mine[a] != mine[b]) | (i[a] == j[a])))
+            x = x[unequal_values(sig[x] ^ sig[x + step]) <= limit]
+            x = x[(head[x] != rep[x + step]) & (head[x + step] != rep[x])]  # compared with the head already
+            y = x + step
+            most = np.minimum(common[x], common[y])
+            told = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(rest[x], rest[y])
+            most = np.where((head[x] == head[y]) & (head[x] >= 0), np.minimum(most, told), most)
+            x = x[100 * most >= percent * (n[x] + n[y] - most)]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[x + step])], names=["a", "b"])
             step += 1
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _whole_groups(keys: list[np.ndarray], cut: int, rows: int = 2048) -> Iterator[slice]:
+    """Slices of about ``rows`` rows up to ``cut`` that part no group."""
+    if not cut:
+        return
+    change = np.flatnonzero(np.any([k[1:cut] != k[: cut - 1] for k in keys], axis=0)) + 1
+    start = 0
+    for end in [*change.tolist(), cut]:
+        if end - start >= rows or end == cut:
+            yield slice(start, end)
+            start = end
+
+
 def near_duplicates(
     documents: DataFrame,
     doc_col: str = "doc_id",
@@ -309,17 +371,25 @@ def near_duplicates(
     classes = light.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     classes = stash(classes, "classes")
     reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").filter("n_shingles > 0")
-    reps = stash(reps.select(F.col("doc_id").alias("rep"), "sig", "bands").dropDuplicates(["rep"]), "reps")
+    reps = stash(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
-    stars = buckets.join(shared, "key").filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stash(_passing(stars, reps, limit), "pairs"), docs, shingle, percent)
-    labels = stash(components(links), "labels")
-    more = stash(_rest_of_buckets(buckets, labels, reps, limit, block), "pairs")
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, docs, shingle, percent))
-        labels = stash(components(links), "labels")
-    of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    members = stash(buckets.join(shared, "key").select("key", "rep", "pivot"), "members")
+    stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    close = stash(_passing(stars, reps, limit), "close")
+    clusters = components(close).withColumnRenamed("node", "rep")
+    near = _compared(stash(clusters.filter("rep != component").select(F.col("component").alias("a"), F.col("rep").alias("b")), "pairs"), docs, shingle, percent)
+    labels = near.select(F.col("b").alias("rep"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"), F.col("a").alias("head"), "bits")
+    more = stash(_mixed_buckets(members, labels, reps, docs, shingle, percent, limit, block), "pairs")
+    labels = labels.select("rep", "label")
+    links = _compared(more, docs, shingle, percent).filter("linked").select("a", "b")
+    if not links.isEmpty():
+        known = labels.select("rep", "label")
+        ends = links.join(known.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")
+        merged = stash(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "merged")
+        alone = merged.join(known.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("node").alias("label"))
+        labels = known.union(alone).join(merged.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("component", "label").alias("label"))
+    of_class = classes.join(labels, "rep", "left").select("hi", "lo", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     drop_stash(reps)
     out = light.join(of_class, ["hi", "lo"], "left")
     known = F.col("doc_id").isNotNull()
@@ -331,10 +401,19 @@ def near_duplicates(
 
 
 def without_near_duplicates(documents: DataFrame, doc_col: str = "doc_id", **more) -> DataFrame:
-    """One document of each component, all columns; rows without id pass."""
+    """One document of each component, all columns; rows without id pass.
+
+    Of rows that repeat an id one stays. Texts are shuffled for those alone, unless the
+    ids to drop are too many to broadcast.
+    """
     names = [F.col(f"`{c}`") for c in documents.columns]
-    kept = near_duplicates(documents, doc_col=doc_col, **more).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    known = documents.join(kept, F.col(f"`{doc_col}`") == F.col("__kept"), "left_semi")
-    one = W.partitionBy(F.col(f"`{doc_col}`")).orderBy(F.xxhash64(*names))
-    known = known.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*names)
-    return known.unionByName(documents.filter(F.col(f"`{doc_col}`").isNull()))
+    found = stash(near_duplicates(documents, doc_col=doc_col, **more).select("doc_id", "kept"), "kept")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    rows = documents.select(F.col(f"`{doc_col}`").cast("long").alias("doc_id"), F.struct(*names).alias("row"))
+    rows = _by_id(rows, gone, "left_anti")
+    if not again.isEmpty():
+        one = W.partitionBy("doc_id").orderBy(F.xxhash64("row"))
+        firsts = _by_id(rows, again, "left_semi").withColumn("copy", F.row_number().over(one)).filter("copy = 1").drop("copy")
+        rows = _by_id(rows, again, "left_anti").unionByName(firsts)
+    return rows.select("row.*")
