@@ -50,6 +50,8 @@ NAMES = set(
     " share sharing social follow subscribe subscription newsletter signup login register search searchbox form pager pagination"
     " skip tags taglist tagcloud legal".split()
 )
+#: Of those, the words that layouts also give to a wrapper around the text itself.
+LAYOUT = set("nav navbar menu menubar topbar toolbar header side sidebar rail banner overlay search widget".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)|[!?][^>]*(?:>|\Z)|/[^A-Za-z][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -63,6 +65,7 @@ class Block:
     words: int
     linked: int
     boiler: bool
+    hard: bool  # boiler not by the name of a layout alone
     article: int  # 1 inside an article, -1 outside of the page's article, 0 on a page without
     heading: bool
 
@@ -71,6 +74,7 @@ class Block:
 class _Open:
     tag: str
     boiler: bool
+    hard: bool
     article: bool
     hidden: bool
 
@@ -100,7 +104,7 @@ class _Page:
             words = "".join(self.pieces).split()
             if words:
                 top = self.stack[-1] if self.stack else None
-                self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), bool(top and top.boiler), int(bool(top and top.article)), self.heading))
+                self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), bool(top and top.boiler), bool(top and top.hard), int(bool(top and top.article)), self.heading))
             self.pieces = []
         self.linked = 0
 
@@ -118,17 +122,18 @@ class _Page:
             self.links = 1
         if tag in VOID or not (tag in BLOCK or tag in DROPPED or "class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs):
             return
-        top = self.stack[-1] if self.stack else _Open("", False, False, False)
-        boiler, article, hidden = top.boiler, top.article, top.hidden or tag in DROPPED
+        top = self.stack[-1] if self.stack else _Open("", False, False, False, False)
+        boiler, hard, article, hidden = top.boiler, top.hard, top.article, top.hidden or tag in DROPPED
+        named = _says(attrs) if attrs and tag not in ("html", "body") else (False, False, False)
         if tag in ("article", "main"):
-            article = True
-            self.has_article = True
+            # a text's own element stands for text, whatever the layout around it is called
+            self.has_article = article = True
+            boiler = hard = hard or named[1]
+        else:
+            boiler, hard = boiler or named[0], hard or named[1]
         if tag in BOILER or tag == "header" and not article:
-            boiler = True
-        if attrs and tag not in ("html", "body", "article", "main"):
-            named, gone = _says(attrs)
-            boiler, hidden = boiler or named, hidden or gone
-        self.stack.append(_Open(tag, boiler, article, hidden))
+            boiler = hard = True
+        self.stack.append(_Open(tag, boiler, hard, article, hidden or named[2]))
 
     def _end_open(self, tag: str, stop: tuple[str, ...]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -153,21 +158,22 @@ class _Page:
                     pass
 
 
-def _says(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes name a container of something other than text, or hide it."""
-    named = hidden = False
+def _says(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether attributes name a container of something other than text, whether not by a layout's word alone, and whether they hide it."""
+    named = hard = hidden = False
     low = attrs.lower()
     if "hidden" in low:
         hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", low))) or 'aria-hidden="true"' in low
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            named = named or any(w.lower() in NAMES for w in _NAME.findall(value))
-        elif name == "role":
-            named = named or value.lower() in ROLES
+            words = {w.lower() for w in _NAME.findall(value)} & NAMES
+            named, hard = named or bool(words), hard or bool(words - LAYOUT)
+        elif name == "role" and value.lower() in ROLES:
+            named = hard = True
         elif name == "style":
             hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
-    return named, hidden
+    return named, hard, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -299,8 +305,13 @@ def main_text(page: str | None, tree: Node) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    rows = block_features(blocks).tolist()
-    return "\n\n".join(b.text for b, r in zip(blocks, rows, strict=True) if classify(tree, r))
+    chosen = [b.text for b, r in zip(blocks, block_features(blocks).tolist(), strict=True) if classify(tree, r)]
+    if not chosen and any(b.boiler and not b.hard for b in blocks):
+        # all text stands in wrappers that are named after their layout: judge it without those names
+        for b in blocks:
+            b.boiler = b.hard
+        chosen = [b.text for b, r in zip(blocks, block_features(blocks).tolist(), strict=True) if classify(tree, r)]
+    return "\n\n".join(chosen)
 
 
 def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: Node | None = None) -> DataFrame:
