@@ -26,11 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
+def stash(df: DataFrame, name: str, parts: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there.
+
+    ``parts``: a column of few values, each of which gets a folder of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(parts) if parts else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -97,8 +97,12 @@ def bottom(values: np.ndarray, size: int = SIZE) -> np.ndarray:
     return np.unique(values)[:size]
 
 
+def to_bytes(values: np.ndarray) -> bytes:
+    return values.astype(">u4").tobytes()
+
+
 def to_text(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
+    return to_bytes(values).hex()
 
 
 def from_text(text: str) -> np.ndarray:
@@ -168,17 +172,18 @@ class _Doc:
         ]))
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and fingerprints travel as bytes, half as long as their text.
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _row(a: _Doc, b: _Doc) -> tuple:
     text, edited = a.edited(b)
-    return (a.doc_id, len(a.points), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), to_text(a.print), to_text(edited), likeness(a.print, edited), likeness(a.print, b.print))
+    return (a.doc_id, len(a.points), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), to_bytes(a.print), to_bytes(edited), likeness(a.print, edited), likeness(a.print, b.print))
 
 
 def _batch(rows: list[tuple], part: int, kinds: list[str], texts: list[str | None]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
     return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(rows), pa.int64()), pa.array(kinds), pa.array(texts, pa.string())], names=[*[x.split()[0] for x in _OUT.split(", ")], "part", "kind", "text"])
 
@@ -196,7 +201,7 @@ def edited_fingerprints(documents: DataFrame, doc_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, part = None, 0
-        blank = (0, "", "", "", 0.0, 0.0)
+        blank = (0, b"", b"", b"", 0.0, 0.0)
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
             rows, kinds, texts = [], [], []
@@ -212,7 +217,7 @@ def edited_fingerprints(documents: DataFrame, doc_col: str = "doc_id", text_col:
         if last is not None:
             yield _batch([(last.doc_id, *blank)], part, ["last"], [last.text])
 
-    made = stash(docs.mapInArrow(run, _OUT + ", part long, kind string, text string"), "syncmers")
+    made = stash(docs.mapInArrow(run, _OUT + ", part long, kind string, text string"), "syncmers", parts="kind")
     done = made.filter("kind = 'done'").select(*[x.split()[0] for x in _OUT.split(", ")])
     # partition numbers alone are ordered in one task; texts of edges are joined by number
     firsts = made.filter("kind = 'first'").select(F.col("part").alias("f_part"), F.col("doc_id").alias("f_id"), F.col("text").alias("f_text"))
@@ -229,7 +234,8 @@ def edited_fingerprints(documents: DataFrame, doc_col: str = "doc_id", text_col:
             if rows:
                 yield pa.RecordBatch.from_arrays(_batch(rows, 0, [""] * len(rows), [None] * len(rows)).columns[:7], names=[x.split()[0] for x in _OUT.split(", ")])
 
-    return done.unionByName(seams.mapInArrow(stitch, _OUT))
+    out = done.unionByName(seams.mapInArrow(stitch, _OUT))
+    return out.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else c for c, kind in out.dtypes])
 
 
 def likeness_udf():
