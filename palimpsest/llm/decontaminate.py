@@ -36,7 +36,7 @@ from .common import pick
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_WORD = re.compile(rb"[^ ]+")
 RESULT = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int,item_id:string>>"
 
 
@@ -99,7 +99,7 @@ def scan_text(text: bytes | None, matchers: list[Matcher], spans: bool = True) -
     ids = sorted({i for _, _, owners in found for i in owners})
     places = []
     if spans:
-        at = [m.span() for m in _WORD.finditer(text)]
+        at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]  # byte for byte as long as the text
         for first, n_words, owners in found:
             start = len(text[: at[first][0]].decode("utf-8"))
             stop = start + len(text[at[first][0] : at[first + n_words - 1][1]].decode("utf-8"))

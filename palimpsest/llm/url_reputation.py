@@ -151,5 +151,5 @@ def judge_urls(
     learnt = F.when(bound < block_below, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, learnt).alias("verdict"),
-        mean.alias("good_mean"), bound.alias("good_upper"), "n_outcomes",
+        F.round(mean, 9).alias("good_mean"), F.round(bound, 9).alias("good_upper"), "n_outcomes",
     )
