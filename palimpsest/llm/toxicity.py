@@ -67,75 +67,117 @@ def _log_ratio(a: int, n: int, b: int, m: int) -> float:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks, with the largest weight of each term and block."""
+    """Postings of unit vectors in blocks of examples, with the largest weight of each term and block."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 128) -> None:
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 256) -> None:
         self.n, self.block = len(vectors), block
-        n_blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((n_terms, n_blocks), dtype=np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        edges = np.arange(0, self.n + block, block)
+        self.most = np.zeros((n_terms, len(edges) - 1))
+        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
         for i, v in enumerate(vectors):
             for t, x in v.items():
-                self.most[t, i // block] = max(self.most[t, i // block], x)
-                lists.setdefault((t, i // block), []).append((i % block, x))
-        self.postings = {key: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for key, p in lists.items()}
+                lists[t].append((i, x))
+        self.who, self.weight, self.starts = [], [], []
+        for t, postings in enumerate(lists):
+            who = np.array([i for i, _ in postings], np.int64)
+            weight = np.array([x for _, x in postings])
+            np.maximum.at(self.most[t], who // block, weight)
+            self.who.append(who)
+            self.weight.append(weight)
+            self.starts.append(np.searchsorted(who, edges).tolist())
+
+    def _open(self, query: dict[int, float], sums: np.ndarray, blocks: list[int]) -> None:
+        for t, x in query.items():
+            who, weight, starts = self.who[t], self.weight[t], self.starts[t]
+            if len(blocks) > 4:  # a term's postings at once: opening more blocks than needed changes nothing
+                sums[who] += x * weight
+                continue
+            for b in blocks:
+                lo, hi = starts[b], starts[b + 1]
+                if lo < hi:
+                    sums[who[lo:hi]] += x * weight[lo:hi]
+
+    def _best(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        who = np.flatnonzero(sums > 0)
+        cos = sums[who]
+        if len(who) > k:
+            keep = cos >= np.partition(cos, len(cos) - k)[len(cos) - k]
+            who, cos = who[keep], cos[keep]
+        order = np.lexsort((who, -cos))[:k]
+        return who[order], cos[order]
 
     def nearest(self, query: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest, by cosine and then by number; ``but`` is left out."""
-        at = np.fromiter(query, np.int64)
-        weights = np.fromiter(query.values(), np.float64)
-        bound = weights @ self.most[at]
-        who, cos = np.empty(0, np.int64), np.empty(0, np.float64)
-        for b in np.argsort(-bound, kind="stable"):
-            # equal bounds are opened too: an earlier example wins a tie
-            if bound[b] <= 0 or len(cos) == k and bound[b] < cos[-1] - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for t, x in query.items():
-                p = self.postings.get((t, b))
-                if p is not None:
-                    sums[p[0]] += x * p[1]
-            here = np.flatnonzero(sums > 0)
-            new = here + b * self.block
-            here = here[new != but]
-            who, cos = np.concatenate([who, here + b * self.block]), np.concatenate([cos, np.round(sums[here], 12)])
-            order = np.lexsort((who, -cos))[:k]
-            who, cos = who[order], cos[order]
+        terms = list(query)
+        bound = np.array(list(query.values())) @ self.most[terms]
+        order = [int(b) for b in np.argsort(-bound, kind="stable") if bound[b] > 0]
+        sums = np.zeros(self.n)
+        self._open(query, sums, order[:2])
+        if but >= 0:
+            sums[but] = 0.0
+        who, cos = self._best(np.round(sums, 12), k)
+        # a bound that equals the k-th cosine is opened too: an earlier example wins a tie
+        rest = [b for b in order[2:] if len(cos) < k or bound[b] >= cos[-1] - 1e-9]
+        if rest:
+            if len(rest) > 4:
+                sums = np.zeros(self.n)
+                rest += order[:2]
+            self._open(query, sums, rest)
+            if but >= 0:
+                sums[but] = 0.0
+            who, cos = self._best(np.round(sums, 12), k)
         return who, cos
 
 
 class NearestLabels:
-    """Examples, their terms and index, and the calibrated vote."""
+    """Examples, their terms and index, and the calibrated vote.
 
-    def __init__(self, examples: list[tuple[int, str, int]], k: int = 31, sharpness: float = 4.0, rest: float = 0.4, least: float = 15.0, most_terms: int = 4000) -> None:
+    ``counts``: how many rows of label 0 and 1 the examples stand for; votes are weighted
+    so that a sample with other shares gives the same probabilities.
+    """
+
+    def __init__(self, examples: list[tuple[int, str, int]], counts: tuple[int, int] | None = None, k: int = 31, sharpness: float = 4.0, rest: float = 0.4, least: float = 20.0, most_terms: int = 256) -> None:
         self.k, self.sharpness, self.rest = k, sharpness, rest
-        counted = [terms(text) for _, text, _ in examples]
         labels = [label for _, _, label in examples]
         pos, neg = sum(labels), len(labels) - sum(labels)
-        self.share = (pos + 0.5) / (len(labels) + 1) if labels else 0.0
-        inside, outside = Counter(), Counter()
-        for (c, _), label in zip(counted, labels, strict=True):
-            (inside if label else outside).update(c.keys())
-        ratio = {}
+        all_neg, all_pos = counts or (neg, pos)
+        self.worth = np.array([all_neg / max(1, neg), all_pos / max(1, pos)])
+        self.worth /= max(self.worth.max(), 1e-9)
+        self.share = (all_pos + 0.5) / (all_pos + all_neg + 1) if labels else 0.0
+        inside: dict[str, set[int]] = {}
+        outside: Counter = Counter()
+        for n, (_, text, label) in enumerate(examples):
+            found = terms(text)[0]
+            if label:
+                for t in found:
+                    inside.setdefault(t, set()).add(n)
+            else:
+                outside.update(found.keys())
+        ratio: dict[str, float] = {}
         if pos and neg:
-            for t, a in inside.items():
-                b = outside[t]
-                if a >= 3 and a / pos > b / neg and (r := _log_ratio(a, pos, b, neg)) > least:
+            for t, where in inside.items():
+                a, b = len(where), outside[t]
+                if a >= max(3, 0.004 * pos) and a / pos > b / neg and (r := _log_ratio(a, pos, b, neg)) > least:
                     ratio[t] = r
-        chosen = sorted(ratio, key=lambda t: (-ratio[t], t))[:most_terms]
-        self.vocabulary = {t: i for i, t in enumerate(chosen)}
-        self.idf = [math.log(1 + len(labels) / (1 + inside[t] + outside[t])) for t in chosen]
+        # of terms that stand in the same examples the first one serves: words before beginnings
+        chosen: dict[tuple, str] = {}
+        for t in sorted(ratio, key=lambda t: (-ratio[t], t[0] == "^", -len(t), t)):
+            chosen.setdefault((hash(frozenset(inside[t])), outside[t]), t)
+        self.terms = list(chosen.values())[:most_terms]
+        self.vocabulary = {t: i for i, t in enumerate(self.terms)}
+        self.idf = [math.log(1 + len(labels) / (1 + len(inside[t]) + outside[t])) for t in self.terms]
         self.known: dict[str, tuple[int, ...]] = {}
         rows = []
-        for (doc_id, text, label) in examples:
+        for doc_id, text, label in examples:
             v = self.vector(text)
             rows.append((self._signature(v), doc_id, label, v))
-        self.empty = [r for r in rows if not r[3]]
+        empty = [label for _, _, label, v in rows if not v]
         rows = sorted((r for r in rows if r[3]), key=lambda r: (r[2], r[0], r[1]))
         self.ids = np.array([r[1] for r in rows], np.int64)
         self.labels = np.array([r[2] for r in rows], np.int64)
-        self.index = BlockMaxIndex([r[3] for r in rows], len(chosen) + 1)
-        self.without = (sum(r[2] for r in self.empty) + self.share) / (len(self.empty) + 1) if examples else 0.0
+        self.index = BlockMaxIndex([r[3] for r in rows], len(self.terms) + 1)
+        e1, e0 = sum(empty) * self.worth[1], (len(empty) - sum(empty)) * self.worth[0]
+        self.without = (e1 + self.share) / (e1 + e0 + 1) if examples else 0.0
         self.slope, self.shift = 1.0, 0.0
         if pos and neg and rows:
             self._calibrate([self.vote(r[3], but=i)[0] for i, r in enumerate(rows)])
@@ -178,20 +220,21 @@ class NearestLabels:
     def vote(self, v: dict[int, float], but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """The distance-weighted share of label 1 among the nearest, and who they are."""
         who, cos = self.index.nearest(v, self.k, but)
-        w = cos**self.sharpness
-        prior = 0.1
+        w = cos**self.sharpness * self.worth[self.labels[who]]
+        prior = 0.1 * self.worth.min()
         return float((w @ self.labels[who] + prior * self.share) / (w.sum() + prior)), who, cos
 
     def _calibrate(self, votes: list[float]) -> None:
-        """A logistic map of the votes' log-odds, fitted by Newton steps."""
-        x = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
-        y = np.where(self.labels == 1, (self.labels.sum() + 1) / (self.labels.sum() + 2), 1 / ((1 - self.labels).sum() + 2))
-        a = np.stack([x, np.ones_like(x)], axis=1)
-        w = np.array([1.0, 0.0])
+        """A logistic map of the votes' log-odds, fitted by Newton steps on weighted examples."""
+        votes = np.clip(votes, 1e-4, 1 - 1e-4)
+        a = np.stack([np.log(votes / (1 - votes)), np.ones_like(votes)], axis=1)
+        y, worth = self.labels * 0.998 + 0.001, self.worth[self.labels]
+        start, ridge = np.array([1.0, 0.0]), np.array([1.0, 0.1])
+        w = start.copy()
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag([1.0, 0.1])
-            w = w - np.linalg.solve(h, a.T @ (p - y) + np.array([1.0, 0.1]) * (w - np.array([1.0, 0.0])))
+            hessian = (a * (worth * (p * (1 - p) + 1e-9))[:, None]).T @ a + np.diag(ridge)
+            w = w - np.linalg.solve(hessian, a.T @ (worth * (p - y)) + ridge * (w - start))
         if w[0] > 0:
             self.slope, self.shift = float(w[0]), float(w[1])
 
@@ -214,13 +257,14 @@ class NearestLabels:
 def fit(documents: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_doc_col: str = "doc_id", label_col: str = "toxic", bound: int = 4000, **more) -> NearestLabels:
     """Examples from at most ``bound`` labelled rows of each label, whole texts."""
     marks = pick(labels, [(label_doc_col, "doc_id"), (label_col, "label")]).dropna().filter("label in (0, 1)").distinct()
+    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     marks = bounded_sample(marks, "doc_id", "label", bound).select("doc_id", "label")
     docs = pick(documents, [(doc_col, "doc_id"), (text_col, "text")])
     rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
     # a bounded number of whole texts comes to the driver, one partition at a time
     examples = [(r["doc_id"], r["text"], r["label"]) for r in rows.collect()]
     examples.sort(key=lambda r: (r[0], r[1], r[2]))
-    return NearestLabels(examples, **more)
+    return NearestLabels(examples, (sizes.get(0, 0), sizes.get(1, 0)), **more)
 
 
 def score_toxicity(documents: DataFrame, model: NearestLabels, doc_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
