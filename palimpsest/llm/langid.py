@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ class SuffixAutomaton:
             if link[i] > 0:
                 seen[link[i]] += seen[i]
         self.next, self.seen, self.size = nxt, seen, max(1, len(text))
+        self.known: dict[str, tuple[int, float]] = {}
 
     def longest(self, text: str, at: int = 0) -> tuple[int, int]:
         """Length of the longest match from a place on, and how often it occurs."""
@@ -81,7 +83,29 @@ class SuffixAutomaton:
         return n - at, self.seen[state] if n > at else 0
 
     def parse(self, text: str) -> tuple[int, float]:
-        """Phrases of a text, and the cost of their rarity."""
+        """Phrases of a text, and the cost of their rarity; parses of word ends are remembered."""
+        known = self.known.get(text)
+        if known is not None:
+            return known
+        nxt, state, n = self.next, 0, 0
+        for ch in text:
+            to = nxt[state].get(ch)
+            if to is None:
+                break
+            state, n = to, n + 1
+        cost = math.log(self.size / self.seen[state]) if n else math.log(self.size) + 3
+        rest = text[max(1, n) :]
+        if not rest:
+            return 1, cost
+        phrases, more = self.parse(rest) if len(rest) < 200 else self._parse_long(rest)
+        if len(rest) <= 12:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[rest] = phrases, more
+        return phrases + 1, cost + more
+
+    def _parse_long(self, text: str) -> tuple[int, float]:
+        """The same for a long run of letters, without recursion."""
         at, phrases, cost = 0, 0, 0.0
         while at < len(text):
             n, seen = self.longest(text, at)
@@ -97,41 +121,51 @@ def sample_text(text: str) -> str:
 
 
 class CrossParser:
-    """Automata by language, with a bounded memory of words."""
+    """Automata by language, and tables of what each known word costs in each of them."""
 
-    def __init__(self, texts: dict[str, str], most: int = 300_000) -> None:
+    def __init__(self, texts: dict[str, str], most: int = 1_000_000) -> None:
         self.langs = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.langs]
-        self.known: dict[str, tuple] = {}
         self.most = most
+        self.clear()
 
-    def _word(self, word: str) -> tuple:
-        padded = f" {word} "
-        parsed = [a.parse(padded) for a in self.automata]
-        return tuple(p for p, _ in parsed), tuple(c for _, c in parsed)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        known = self.known
+    def clear(self) -> None:
+        """Forget all words: the memory is bounded by ``most`` of them."""
         k = len(self.langs)
-        phrases, cost, letters = [0] * k, [0.0] * k, 0
-        for w, n in Counter(words).items():
-            found = known.get(w)
-            if found is None:
-                if len(known) >= self.most:
-                    known.clear()
-                found = known[w] = self._word(w)
-            letters += n * (len(w) + 2)
-            for i in range(k):
-                phrases[i] += n * found[0][i]
-                cost[i] += n * found[1][i]
-        best = min(range(k), key=lambda i: (phrases[i], cost[i], self.langs[i]))
-        # softmax of the normalised counts, sharpened by the number of phrases seen
-        sharp = 4.0 * math.sqrt(letters)
-        weights = [math.exp(-sharp * (p - phrases[best]) / letters - 0.05 * max(0.0, c - cost[best]) * (p == phrases[best])) for p, c in zip(phrases, cost, strict=True)]
-        return self.langs[best], 1.0 / sum(weights)
+        self.number: dict[str, int] = {}
+        self.phrases, self.cost, self.letters = np.zeros((1024, k), np.int32), np.zeros((1024, k), np.float32), np.zeros(1024, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        n = len(self.number)
+        while n + len(words) > len(self.letters):
+            self.phrases, self.cost, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.phrases, self.cost, self.letters))
+        for at, word in enumerate(words, n):
+            padded = f" {word} "
+            self.number[word] = at
+            self.letters[at] = len(padded)
+            for i, a in enumerate(self.automata):
+                self.phrases[at, i], self.cost[at, i] = a.parse(padded)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        if len(self.number) > self.most:
+            self.clear()
+        words = [_WORD.findall((t or "").lower()) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        self._learn(list(set().union(*words).difference(self.number)))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64)
+        ends = np.cumsum([0, *map(len, words)])
+        sums = [np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x[flat].astype(np.float64), axis=0)]) for x in (self.phrases, self.cost, self.letters[:, None])]
+        phrases, cost, letters = (x[ends[1:]] - x[ends[:-1]] for x in sums)
+        return [self._judge(p, c, n) if n else ("und", 0.0) for p, c, n in zip(np.rint(phrases), np.round(cost, 3), letters[:, 0], strict=True)]
+
+    def _judge(self, phrases: np.ndarray, cost: np.ndarray, letters: float) -> tuple[str, float]:
+        best = min(range(len(self.langs)), key=lambda i: (phrases[i], cost[i], self.langs[i]))
+        # softmax of the normalised counts, sharpened by the number of letters seen
+        tie = (phrases == phrases[best]) * np.maximum(0.0, cost - cost[best])
+        weights = np.exp(-4.0 * (phrases - phrases[best]) / math.sqrt(letters) - 0.05 * tie)
+        return self.langs[best], float(1.0 / weights.sum())
 
 
 def fit(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = 120, chars: int = 60_000) -> dict[str, str]:
@@ -160,8 +194,8 @@ def predict_language(documents: DataFrame, texts: dict[str, str], doc_col: str =
             _parsers.clear()
             _parsers[known] = CrossParser(shared.value)
         parser = _parsers[known]
-        for b in batches:
-            found = [parser.predict(t) for t in b.column(1).to_pylist()]
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            found = parser.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return pick(documents, [(doc_col, "doc_id"), (text_col, "text")]).mapInArrow(run, "doc_id long, lang_pred string, score double")
