@@ -59,7 +59,9 @@ def address_passes(text: str, allow: frozenset[str], give: Give, log: Log) -> st
         log(ADDRESS, "email", m[0], token)
         return token
 
-    return t.EMAIL.sub(bare, t.NAME_ANGLE.sub(named, text))
+    if "@" not in text:  # both patterns need one, and would try every place
+        return text
+    return t.EMAIL.sub(bare, t.NAME_ANGLE.sub(named, text) if "<" in text else text)
 
 
 def account_passes(text: str, allow: frozenset[str], give: Give, log: Log) -> str:
@@ -96,8 +98,10 @@ def account_passes(text: str, allow: frozenset[str], give: Give, log: Log) -> st
         at = m.start(1) - m.start()
         return m[0][:at] + t.SYSEVENT_PARM.sub(parameter, m[1]) + m[0][at + len(m[1]) :]
 
-    text = t.AUDIT_JSON.sub(audit(JSON_USER), t.AUDIT_XML.sub(audit(XML_USER), text))
-    return t.SYSEVENT.sub(event, text)
+    low = text.lower()
+    if "_created_by" in low or "_updated_by" in low:
+        text = t.AUDIT_JSON.sub(audit(JSON_USER), t.AUDIT_XML.sub(audit(XML_USER), text))
+    return t.SYSEVENT.sub(event, text) if "event" in low else text
 
 
 def dictionary_passes(text: str, entries: list[tuple[str, str, str]], allow: frozenset[str], log: Log) -> str:

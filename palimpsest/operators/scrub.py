@@ -115,7 +115,8 @@ def _with_dictionary(df: DataFrame, entries: DataFrame, options: Options):
     rows = entries.select("kind", "key", "token", "file_ord", "pass", "pos")
     small = rows.limit(options.broadcast_entries + 1).count() <= options.broadcast_entries
     if small:
-        found = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[3], r[4], r[5], r[1]))
+        # longest first, then first seen: documents need not sort it again
+        found = sorted((tuple(r) for r in rows.collect()), key=lambda r: (-len(r[1]), r[3], r[4], r[5], r[1]))
         return df.withColumn("entries", F.lit(None).cast("array<struct<kind:string,key:string,token:string,file_ord:bigint,pass:int,pos:bigint>>")), df.sparkSession.sparkContext.broadcast(found)
     # a key can only occur where its first word does
     anchor = F.lower(F.regexp_extract("key", r"(?U)\w+", 0))
@@ -193,7 +194,7 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
         if shared is not None:
             entries = [e[:3] for e in shared.value if options.visibility == "global" or e[3] <= r["file_ord"]]
         else:
-            own = sorted(r["entries"] or [], key=lambda e: (e["file_ord"], e["pass"], e["pos"], e["key"]))
+            own = sorted(r["entries"] or [], key=lambda e: (-len(e["key"]), e["file_ord"], e["pass"], e["pos"], e["key"]))
             entries = [(e["kind"], e["key"], e["token"]) for e in own]
         if not options.scrub_orgs:
             entries = [e for e in entries if e[0] != "org"]
