@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +113,13 @@ def prefix_sums(df: DataFrame, order_col: str, value_col: str, out_col: str, blo
     )
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the machine: Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(31))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_stash, mix64, pick, random_words, stash
+from .common import drop_stash, mix64, pick, random_words, stash, trim
 
 BANDS, ROWS, BITS = 32, 5, 4
 PERMUTATIONS = BANDS * ROWS
@@ -161,6 +161,7 @@ def sketches(documents: DataFrame, shingle: int = 4) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "hi", "lo", "sig", "bands"],
             )
+        trim()
 
     return documents.mapInArrow(run, schema)
 
@@ -224,6 +225,7 @@ def _compared(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
                 linked.append(100 * n >= percent * (len(s) + len(u) - n))
                 bits.append(np.packbits(has).tobytes())
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(linked, pa.bool_()), pa.array(bits, pa.binary())], names=["a", "b", "linked", "bits"])
+        trim()
 
     out = stash(both.select("a", "b", "t", "u").mapInArrow(run, "a long, b long, linked boolean, bits binary"), "compared")
     drop_stash(texts)

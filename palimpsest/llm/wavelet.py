@@ -28,6 +28,8 @@ while the shards are fewer than ``MANY_SHARDS``, else by shuffle.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,14 +37,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, prefix_sums, stash
+from .common import pick, prefix_sums, stash, trim
 
 MANY_SHARDS = 500_000
+BATCH_BYTES = 24_000_000
 SHARDS = "part long, seq long, first_id long, last_id long, n_docs long, n_ids long, payload binary"
 
 
@@ -70,10 +74,10 @@ class WaveletMatrix:
         block, plane = i // self.STEP, self.planes[level]
         lo, hi = block * self.STEP // 8, i // 8
         total = int(self.counts[level][block]) + int(np.bitwise_count(plane[lo:hi]).sum())
-        return total + (int(plane[hi] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        return total + ((int(plane[hi]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8] >> (7 - i % 8)) & 1
+        return int(self.planes[level][i // 8] >> (i % 8)) & 1
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -107,7 +111,7 @@ class WaveletMatrix:
             counts = np.minimum(np.arange(len(counts)) * self.STEP, self.n) - counts
         block = int(np.searchsorted(counts, k, side="right")) - 1
         lo = block * self.STEP // 8
-        own = np.unpackbits(self.planes[level][lo : lo + self.STEP // 8])
+        own = np.unpackbits(self.planes[level][lo : lo + self.STEP // 8], bitorder="little")
         return block * self.STEP + int(np.flatnonzero(own == bit)[k - int(counts[block])])
 
     def select(self, value: int, k: int) -> int:
@@ -129,29 +133,37 @@ class WaveletMatrix:
         return join_planes(self.planes, self.n)
 
 
+def _mask(plane: np.ndarray, n: int) -> pa.BooleanArray:
+    """A plane as the bit mask that it is."""
+    return pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(plane)])
+
+
 def part_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Packed bit planes, most significant first, each after stable parting by those before."""
-    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    """Packed bit planes, most significant first, each after stable parting by those before.
+
+    A byte's lowest bit comes first, as in Arrow's masks, which do the parting.
+    """
+    kind = np.uint16 if bits <= 16 else np.uint32
+    seq = pa.array(ids.astype(kind))
     planes = []
     for level in range(bits - 1, -1, -1):
-        bit = ((seq >> level) & 1).astype(bool)
-        planes.append(np.packbits(bit))
-        if level:
-            seq = np.concatenate([seq[~bit], seq[bit]])
+        plane = np.packbits((seq.to_numpy() & kind(1 << level)) != 0, bitorder="little")
+        planes.append(plane)
+        if level and len(seq):
+            seq = pa.concat_arrays([seq.filter(_mask(~plane, len(seq))), seq.filter(_mask(plane, len(seq)))])
     return planes
 
 
 def join_planes(planes: list[np.ndarray], n: int) -> np.ndarray:
     """The sequence whose planes these are, from the last plane up."""
-    bits = len(planes)
-    kind = np.uint16 if bits <= 16 else np.uint32
+    kind = np.uint16 if len(planes) <= 16 else np.uint32
     seq = np.zeros(n, dtype=kind)
     for level, plane in enumerate(reversed(planes)):
-        bit = np.unpackbits(plane, count=n).view(bool)
-        zeros = n - int(np.count_nonzero(bit))
+        bit = np.unpackbits(plane, count=n, bitorder="little").view(bool)
+        ones, none = np.flatnonzero(bit), np.flatnonzero(~bit)
+        seq[len(none) :] |= kind(1 << level)
         above = np.empty(n, dtype=kind)
-        above[~bit] = seq[:zeros]
-        above[bit] = seq[zeros:] | kind(1 << level)
+        above[none], above[ones] = seq[: len(none)], seq[len(none) :]
         seq = above
     return seq
 
@@ -189,66 +201,100 @@ def load(payload: bytes) -> WaveletMatrix:
 # --- encoding ------------------------------------------------------------------------------
 @lru_cache(2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+#: A run of letters of the first 256 code points, then signs other than the apostrophe.
+_LETTERS_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([\x00-&(-/:-@\[-`{-\x7f]*)")
+
+
 class Encoder:
     """Encodes whole texts piece by piece, remembering the ids of pieces.
 
-    The tokenizer's pieces never cross a space or a line feed, which it drops, so a text's
-    ids are those of what stands between them. At most ``most`` pieces are remembered;
-    then the memory is emptied.
+    Three facts about this kind of tokenizer (lower-casing, white space dropped, a suffix at
+    the end of each word) make a text's ids those of its pieces in turn: no word crosses a
+    space or a line feed; none crosses from a letter to a sign but for the apostrophe; and
+    letters of the first 256 code points have one-letter lower-case forms that normalise to
+    themselves. New letter runs are encoded together, between spaces, and told apart by
+    the word-end ids; signs and every other piece are encoded by themselves. At most
+    ``most`` letter runs are remembered; then the memory is emptied.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000) -> None:
-        self.path, self.end_id, self.most = path, end_id, most
-        self.number: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number.clear()
-        self.number[""] = 0
-        self.flat, self.starts, self.sizes, self.used, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, 1
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = _tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, found, strict=True):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            if self.n == len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.sizes, self.sizes * 0])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.sizes[self.n] = self.used, len(ids)
-            self.number[piece] = self.n
-            self.used += len(ids)
-            self.n += 1
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, path: str, end_id: int, most: int = 1_300_000) -> None:
+        self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bits = max(1, max(max(vocabulary.values()), end_id).bit_length())
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.word_end = np.zeros(1 << self.bits, bool)
+        self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.end, self.most = np.array([end_id], self.kind).tobytes(), most
+        self.pieces: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        if "" in runs:
+            runs.remove("")
+            self.runs[""] = b""
+        for at in range(0, len(runs), 1000):
+            some = runs[at : at + 1000]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(some):  # no word-end ids: one by one
+                for run in some:
+                    self.runs[run] = self._bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
+                continue
+            raw, size, start = ids.tobytes(), self.kind.itemsize, 0
+            for run, end in zip(some, (ends * size).tolist(), strict=True):
+                self.runs[run] = raw[start:end]
+                start = end
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.pieces[piece] = self._bytes(found.ids)
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, as bytes."""
+        runs, whole, match = self.runs, self.pieces, _LETTERS_SIGNS.fullmatch
+        if len(runs) > self.most:
+            runs.clear()
+        if len(whole) > self.most // 4:
+            whole.clear()
+        split_runs, split_signs = [], []
+        for piece in pieces:
+            m = match(piece)
+            run, signs = m.groups() if m else ("", piece)
+            split_runs.append(run.lower())
+            split_signs.append(signs)
+        self._learn_pieces(list(set(split_signs).difference(whole)))
+        self._learn_runs(list(set(split_runs).difference(runs)))
+        return [runs[r] + whole[s] if s else runs[r] for r, s in zip(split_runs, split_signs, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each has."""
-        if len(self.number) > self.most:
-            self.clear()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = dict.fromkeys(p for pieces in split for p in pieces if p not in self.number)
-        if new:
-            self._learn(list(new))
-        number = self.number
-        which = np.fromiter((number[p] for pieces in split for p in pieces), np.int64)
-        per_text = np.array([len(p) for p in split], np.int64)
-        sizes = self.sizes[which]
-        ends = np.cumsum(per_text)
-        words = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = words[ends] - words[ends - per_text] + 1
-        # ragged gather: ids of piece k run from its start on
-        total = int(words[-1])
-        at = np.arange(total) + np.repeat(self.starts[which] - words[:-1], sizes)
-        out = np.full(total + len(texts), self.end_id, np.uint32)
-        free = np.ones(len(out), bool)
-        free[np.cumsum(lengths) - 1] = False
-        out[free] = self.flat[at]
-        return out, lengths
+        # Arrow splits and numbers the pieces; only distinct ones are looked up here
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        found = [*self._ids_of(coded.dictionary.to_pylist()), self.end]
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(found) - 1)  # the end id after each text
+        size = sizes[which]
+        upto = np.cumsum(size)
+        kind = np.int32 if len(upto) and upto[-1] < 2**31 else np.int64
+        at = np.repeat((starts[which] - (upto - size)).astype(kind), size)
+        at += np.arange(len(at), dtype=kind)
+        ids = flat[at]
+        text_ends = upto[ends + np.arange(len(ends))] if len(ends) else ends
+        return ids, np.diff(text_ends, prepend=0)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -260,18 +306,20 @@ def encode_shards(
     doc_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 1,
-    shard_tokens: int = 4_000_000,
+    shard_tokens: int = 2_000_000,
     partitions: int | None = None,
 ) -> DataFrame:
     """Shards of all documents in ascending doc_id; ``part`` and ``seq`` give their order."""
-    bits = max(1, int(max(_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1, end_id)).bit_length())
     docs = pick(documents, [(doc_col, "doc_id"), (text_col, "text")])
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault((tokenizer_path, end_id), Encoder(tokenizer_path, end_id))
+        if (tokenizer_path, end_id) not in _encoders:
+            _encoders[tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
+        encoder = _encoders[tokenizer_path, end_id]
+        trim()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seq = part = 0
 
@@ -279,14 +327,16 @@ def encode_shards(
             nonlocal held, seq
             who, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held, seq = [], seq + 1
-            row = [[part], [seq - 1], [int(who[0])], [int(who[-1])], [len(who)], [len(ids)], [write_shard(who, lengths, ids, bits)]]
+            row = [[part], [seq - 1], [int(who[0])], [int(who[-1])], [len(who)], [len(ids)], [write_shard(who, lengths, ids, encoder.bits)]]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row[:6]] + [pa.array(row[6], pa.binary())], names=[f.split()[0] for f in SHARDS.split(", ")])
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
+            # the more text at once, the fewer distinct pieces are met again
+            step = max(1, int(b.num_rows * BATCH_BYTES / max(b.nbytes, BATCH_BYTES)))
+            for at in range(0, b.num_rows, step):
+                some = b.slice(at, step)
                 part = some.column(2)[0].as_py()
-                ids, lengths = encoder.encode(some.column(1).to_pylist())
+                ids, lengths = encoder.encode(some.column(1))
                 # a null id is written as the least integer: such rows come first
                 who = some.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 first = 0
@@ -303,6 +353,7 @@ def encode_shards(
                 held.append((who[first:], lengths[first:], ids[start:]))
         if held:
             yield close()
+        trim()
 
     return docs.mapInArrow(run, SHARDS)
 
