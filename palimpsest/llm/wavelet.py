@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import pick, prefix_sums, stash, trim
 
 MANY_SHARDS = 500_000
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 7_000_000
 SHARDS = "part long, seq long, first_id long, last_id long, n_docs long, n_ids long, payload binary"
 
 
@@ -223,7 +223,7 @@ class Encoder:
     ``most`` letter runs are remembered; then the memory is emptied.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 1_300_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000) -> None:
         self.tokenizer = _tokenizer(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(max(vocabulary.values()), end_id).bit_length())
