@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and beginnings of words (3 to 5 letters). Of those, the terms that occur
-in significantly more examples of label 1 (log-likelihood ratio) span the space, with one
-more axis for the length of the rest, so that a term counts for less in a long text.
+Terms are words and beginnings of words (3 to 5 letters). Of those, all terms that occur
+in significantly more examples of label 1 (log-likelihood ratio) span the space, however
+many they are, with one more axis for the length of the rest, so that a term counts for
+less in a long text. The cosine is that of the vectors over these terms.
 Weights are (1 + log tf) * idf, vectors have length 1.
 
 The examples lie in a block-max inverted index: they are sorted so that alike ones stand
@@ -136,7 +137,7 @@ class NearestLabels:
     so that a sample with other shares gives the same probabilities.
     """
 
-    def __init__(self, examples: list[tuple[int, str, int]], counts: tuple[int, int] | None = None, k: int = 31, sharpness: float = 4.0, rest: float = 0.4, least: float = 20.0, most_terms: int = 256) -> None:
+    def __init__(self, examples: list[tuple[int, str, int]], counts: tuple[int, int] | None = None, k: int = 31, sharpness: float = 4.0, rest: float = 0.4, least: float = 15.0) -> None:
         self.k, self.sharpness, self.rest = k, sharpness, rest
         labels = [label for _, _, label in examples]
         pos, neg = sum(labels), len(labels) - sum(labels)
@@ -144,28 +145,18 @@ class NearestLabels:
         self.worth = np.array([all_neg / max(1, neg), all_pos / max(1, pos)])
         self.worth /= max(self.worth.max(), 1e-9)
         self.share = (all_pos + 0.5) / (all_pos + all_neg + 1) if labels else 0.0
-        inside: dict[str, set[int]] = {}
-        outside: Counter = Counter()
-        for n, (_, text, label) in enumerate(examples):
-            found = terms(text)[0]
-            if label:
-                for t in found:
-                    inside.setdefault(t, set()).add(n)
-            else:
-                outside.update(found.keys())
+        inside, outside = Counter(), Counter()
+        for _, text, label in examples:
+            (inside if label else outside).update(terms(text)[0].keys())
         ratio: dict[str, float] = {}
         if pos and neg:
-            for t, where in inside.items():
-                a, b = len(where), outside[t]
-                if a >= max(3, 0.004 * pos) and a / pos > b / neg and (r := _log_ratio(a, pos, b, neg)) > least:
+            for t, a in inside.items():
+                b = outside[t]
+                if a >= 3 and a / pos > b / neg and (r := _log_ratio(a, pos, b, neg)) > least:
                     ratio[t] = r
-        # of terms that stand in the same examples the first one serves: words before beginnings
-        chosen: dict[tuple, str] = {}
-        for t in sorted(ratio, key=lambda t: (-ratio[t], t[0] == "^", -len(t), t)):
-            chosen.setdefault((hash(frozenset(inside[t])), outside[t]), t)
-        self.terms = list(chosen.values())[:most_terms]
+        self.terms = sorted(ratio, key=lambda t: (-ratio[t], t))
         self.vocabulary = {t: i for i, t in enumerate(self.terms)}
-        self.idf = [math.log(1 + len(labels) / (1 + len(inside[t]) + outside[t])) for t in self.terms]
+        self.idf = [math.log(1 + len(labels) / (1 + inside[t] + outside[t])) for t in self.terms]
         self.known: dict[str, tuple[int, ...]] = {}
         rows = []
         for doc_id, text, label in examples:

@@ -52,3 +52,35 @@ def test_no_examples_and_one_label(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert T.score_toxicity(docs, T.fit(docs, one)).first()["score"] > 0.5
     assert T.score_toxicity(docs.limit(0), T.fit(docs, none)).collect() == []
+
+
+def test_every_significant_term_spans_the_space():
+    """Neither a number of terms nor a share of the positives nor a companion keeps a term out."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = ["".join(w) for w in {tuple(rng.choices(letters, k=3)) for _ in range(330)}]
+    marks, rare, pair = many[:300], "qqx", ("vvy", "wwz")
+    texts = [["plain"] for _ in range(4000)]
+    for w in marks:
+        for i in rng.sample(range(4000), 40):
+            texts[i].append(w)
+    for i in range(12):
+        texts[i].append(rare)
+    for i in range(20, 40):
+        texts[i] += pair
+    examples = [(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(9000 + i, "plain words here", 0) for i in range(4000)]
+    model = T.NearestLabels(examples)
+    assert {"=" + w for w in [*marks, rare, *pair]} <= set(model.vocabulary)
+    query = f"{rare} {pair[0]} {pair[1]} {marks[0]} {marks[299]}"
+    seen = {w: sum(w in t for t in texts) for w in [*marks, rare, *pair]}
+
+    def vector(words):
+        v = {w: np.log(1 + 8000 / (1 + seen[w])) * (1 + np.log(words.count(w))) for w in words if w in seen}
+        v[""] = model.rest * (1 + np.log(len(words)))
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    q = vector(query.split())
+    want = sorted((sum(x * v.get(w, 0) for w, x in q.items()) for t in texts if len(v := vector(t)) > 1), reverse=True)[: model.k]
+    _, _, cos = model.score(query)
+    assert np.allclose(cos, want, atol=1e-9)
