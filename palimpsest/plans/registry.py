@@ -338,6 +338,17 @@ def prose_damage(spark, sf_dir):
     return R.prose_damage(_hits(spark, sf_dir), docs)
 
 
+@query()
+def prose_damage_documents(spark, sf_dir):
+    """A run that rewrote every 'the' of all documents, whatever their letters.
+
+    DuckDB knows ASCII word bounds only, hence no SQL: ``prose_damage`` is its ASCII part.
+    """
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.col("text").alias("original"), F.regexp_replace("text", C.rx(r"\bthe\b", "i"), "PERSON_001").alias("text"))
+    return R.prose_damage(_hits(spark, sf_dir), docs)
+
+
 @query("select cast(4 as bigint) as map_poison_keys")
 def map_poison(spark, sf_dir):
     keys = ["Sam Jansen", "Sam", "user", "PERSON_001", "or", "Jansen"]
