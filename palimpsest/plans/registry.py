@@ -363,6 +363,14 @@ def map_prune(spark, sf_dir):
     return A.prune(pii_map, _hits(spark, sf_dir).filter("file_ord = 7")).select("key")
 
 
+@query(f"with h as ({HITS_SQL}) select distinct lower(replacement) as key from h where file_ord = 7")
+def map_prune_orders(spark, sf_dir):
+    """The map of all orders' clerks, pruned by what one file used."""
+    clerks = table(spark, sf_dir, "orders").select(_clerk().alias("clerk")).distinct()
+    pii_map = clerks.select(F.lit("username").alias("kind"), F.lower("clerk").alias("key"), F.col("clerk").alias("token"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("file_ord"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("pos"))
+    return A.prune(pii_map, _hits(spark, sf_dir).filter("file_ord = 7")).select("key")
+
+
 # --- files and staging ---------------------------------------------------------------------------------------
 TREE = ["inbox/raw/a.md", "inbox/raw/_b.TXT", "inbox/raw/.env", "inbox/raw/x.pdf", "inbox/raw/x.bin", "inbox/raw/.gitkeep", "inbox/raw/source-export/c.md", "inbox/raw/d/e.csv", "inbox/raw/a/b.md", "inbox/raw/a.b", "README", "src/stories/STORY-1/intake-clean/z.xml"]
 
