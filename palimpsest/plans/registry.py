@@ -123,7 +123,7 @@ def scrub_documents(spark, sf_dir):
     """The whole engine over the documents: lengths before and after, hits and residuals of each."""
     from ..operators.scrub import scrub
 
-    run = scrub(table(spark, sf_dir, "documents"), None, Options(allowlist=frozenset(ALLOW), ip=True), ord_col="doc_id")
+    run = scrub(table(spark, sf_dir, "documents"), None, Options(allowlist=frozenset(ALLOW), ip=True, nl_id=True).technical(), ord_col="doc_id")
     hits = run.hits.groupBy("file_ord").agg(F.count("*").alias("hits"))
     rest = run.residuals.groupBy("file_ord").agg(F.count("*").alias("residual"))
     docs = run.documents.select("file_ord", F.length("original").alias("chars_before"), F.length("text").alias("chars_after"))
@@ -168,6 +168,15 @@ made("name_angle", "concat('Jan Jansen <user', cast(c_custkey as string), '@corp
 PERSON = "concat('Sam ', chr(cast(65 + n_nationkey % 26 as int)), 'arsen')"
 
 
+#: A person's name of a customer's own.
+CUSTOMER = "concat('Sam ', chr(cast(65 + c_custkey % 26 as int)), 'arsen', chr(cast(97 + floor(c_custkey / 26) % 26 as int)), chr(cast(97 + floor(c_custkey / 676) % 26 as int)), chr(cast(97 + floor(c_custkey / 17576) % 26 as int)), chr(cast(97 + floor(c_custkey / 456976) % 26 as int)))"
+
+
+def of_customers(expr: str) -> str:
+    """An expression over nations, over customers; ``n`` is a customer's place by key."""
+    return expr.replace(PERSON, CUSTOMER).replace("n_nationkey + 1", "n").replace("n_nationkey", "c_custkey")
+
+
 def nations(spark: SparkSession, sf_dir: str, text: str, detect) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.expr(text).alias("text"))
     return found(df, "id", detect(F.col("text")))
@@ -182,6 +191,12 @@ def harvested(name: str, text: str, detect, names: str) -> None:
     run.__name__ = name
     query(find_sql(f"select n_nationkey as id, {names} as text from nation", "id", "text"))(run)
 
+    def run_customers(spark, sf_dir):
+        return found(customers(spark, sf_dir, F.expr(of_customers(text))), "id", detect(F.col("text")))
+
+    run_customers.__name__ = f"{name}_customers"
+    query(find_sql(customers_sql(of_customers(names)), "id", "text"))(run_customers)
+
 
 harvested("harvest_table", f"concat('| Reporter | - ', {PERSON}, ' / Ann Other |\n| Text | Not This |')", C.harvest_table, f"[{PERSON}, 'Ann Other']")
 harvested("harvest_bullets", f"concat('**Stakeholders:**\n- ', {PERSON}, ', Ann Other\n* Casey van Berg\n\nNotes:\n- Not This')", C.harvest_bullets, f"[{PERSON}, 'Ann Other', 'Casey van Berg']")
@@ -445,8 +460,12 @@ def decode_text(spark, sf_dir):
 
 
 # --- the engine on made-up documents ---------------------------------------------------------------------------
-def scrubbed(name: str, text: str, want: str, **switches) -> None:
-    """Register the whole engine over a document per nation; ``want`` is its text in DuckDB."""
+def scrubbed(name: str, text: str, want: str, customer_text: str | None = None, customer_want: str | None = None, **switches) -> None:
+    """Register the whole engine over a document per nation, and over one per customer.
+
+    ``want`` is its text in DuckDB; ``customer_text`` and ``customer_want`` stand in where
+    nations' values don't reach.
+    """
 
     def run(spark, sf_dir):
         from ..operators.scrub import scrub
@@ -457,16 +476,33 @@ def scrubbed(name: str, text: str, want: str, **switches) -> None:
     run.__name__ = name
     query(f"select cast(n_nationkey as bigint) as file_ord, {want} as text from nation")(run)
 
+    def run_customers(spark, sf_dir):
+        from ..operators.scrub import scrub
+
+        docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_ord"), F.expr(customer_text or of_customers(text)).alias("text"))
+        return scrub(docs, None, Options(allowlist=frozenset(ALLOW), **switches)).documents.select("file_ord", "text")
+
+    run_customers.__name__ = f"{name}_customers"
+    query(f"select cast(c_custkey as bigint) as file_ord, {customer_want or of_customers(want)} as text from (select c_custkey, row_number() over (order by c_custkey) as n from customer)")(run_customers)
+
 
 NUMBER = "printf('%03d', n_nationkey + 1)"
+TECHNICAL = (
+    "concat('host: srv', cast(c_custkey as string), '\nsee /tmp/f', cast(c_custkey as string), ' of 10.', cast(cast(floor(c_custkey / 65536) % 256 as int) as string), '.', cast(cast(floor(c_custkey / 256) % 256 as int) as string), '.', cast(c_custkey % 256 as string), '\ngit log ', cast(c_custkey as string))",
+    "concat('host: MACHINE_', printf('%03d', n), '\nsee PATH_', printf('%03d', n), ' of 203.0.113.', cast(n % 254 + 1 as string), '\nCMD_', printf('%03d', n))",
+)
+VALUES = (
+    f"concat('mac 00:1B:44:', substr({K9}, 4, 2), ':', substr({K9}, 6, 2), ':', substr({K9}, 8, 2), ' tel +31 6 ', substr({K9}, 2, 8), ' dob: 2001-02-03')",
+    "concat('mac 00:00:5e:00:53:', printf('%02x', n), ' tel PHONE_', printf('%03d', n), ' dob: 1900-01-02')",
+)
 scrubbed("name_scrub", f"concat('| Reporter | ', {PERSON}, ' |\nthen ', lower({PERSON}), ' called ', {PERSON})", f"concat('| Reporter | PERSON_', {NUMBER}, ' |\nthen PERSON_', {NUMBER}, ' called PERSON_', {NUMBER})", expand_name_parts=False)
 scrubbed("org_scrub", "concat('Esprit and DUSTIN of ', cast(n_nationkey as string))", "concat('ORG_001 and ORG_002 of ', cast(n_nationkey as string))", orgs=("Esprit", "Dustin", "Absent"))
 scrubbed("username_scrub", "concat('<sys_created_by>User', cast(n_nationkey as string), '</sys_created_by> by user', cast(n_nationkey as string))", f"concat('<sys_created_by>username_', {NUMBER}, '</sys_created_by> by username_', {NUMBER})")
 scrubbed("login_scrub", "concat('<sysevent><name>login</name><parm1>usr', cast(n_nationkey as string), '</parm1><parm2>10.0.0.1</parm2></sysevent>')", f"concat('<sysevent><name>login</name><parm1>username_', {NUMBER}, '</parm1><parm2>10.0.0.1</parm2></sysevent>')")
 scrubbed("name_address_scrub", f"concat('From: ', {PERSON}, ' <u', cast(n_nationkey as string), '@corp.example>, noreply@example.org')", f"concat('From: PERSON_', {NUMBER}, ' <user_', {NUMBER}, '@example.test>, noreply@example.org')")
 scrubbed("csv_scrub", f"concat('naam,email\n', {PERSON}, ',u', cast(n_nationkey as string), '@corp.example\n')", f"concat('naam,email\nPERSON_', {NUMBER}, ',user_', {NUMBER}, '@example.test\n')", expand_name_parts=False)
-scrubbed("technical_scrub", "concat('host: srv', cast(n_nationkey as string), '\nsee /tmp/f', cast(n_nationkey as string), ' of 10.1.2.', cast(n_nationkey as string), '\ngit log ', cast(n_nationkey as string))", f"concat('host: MACHINE_', {NUMBER}, '\nsee PATH_', {NUMBER}, ' of 203.0.113.', cast(n_nationkey + 2 as string), '\nCMD_', {NUMBER})", ip=True, machines=True, paths=True, commands=True)
-scrubbed("value_scrub", "concat('mac 00:1B:44:11:3A:', lpad(cast(n_nationkey as string), 2, '0'), ' tel +31 6 123456', lpad(cast(n_nationkey as string), 2, '0'), ' dob: 2001-02-03')", f"concat('mac 00:00:5e:00:53:', printf('%02x', n_nationkey + 1), ' tel PHONE_', {NUMBER}, ' dob: 1900-01-02')")
+scrubbed("technical_scrub", "concat('host: srv', cast(n_nationkey as string), '\nsee /tmp/f', cast(n_nationkey as string), ' of 10.1.2.', cast(n_nationkey as string), '\ngit log ', cast(n_nationkey as string))", f"concat('host: MACHINE_', {NUMBER}, '\nsee PATH_', {NUMBER}, ' of 203.0.113.', cast(n_nationkey + 2 as string), '\nCMD_', {NUMBER})", *TECHNICAL, ip=True, machines=True, paths=True, commands=True)
+scrubbed("value_scrub", "concat('mac 00:1B:44:11:3A:', lpad(cast(n_nationkey as string), 2, '0'), ' tel +31 6 123456', lpad(cast(n_nationkey as string), 2, '0'), ' dob: 2001-02-03')", f"concat('mac 00:00:5e:00:53:', printf('%02x', n_nationkey + 1), ' tel PHONE_', {NUMBER}, ' dob: 1900-01-02')", *VALUES)
 
 
 @query()
@@ -474,7 +510,7 @@ def irreversible_scrub(spark, sf_dir):
     """Keyed digests in place of numbers; no map is kept."""
     from ..operators.scrub import scrub
 
-    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_ord"), F.expr("concat('u', cast(n_nationkey as string), '@corp.example')").alias("text"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_ord"), F.expr("concat('u', cast(c_custkey as string), '@corp.example')").alias("text"))
     return scrub(docs, None, Options(irreversible=True, secret=b"bench")).documents.select("file_ord", "text")
 
 

@@ -31,3 +31,18 @@ def test_map_prune_takes_the_map_of_all_orders(spark, tmp_path):
     kept = [r["key"] for r in registry.QUERIES["map_prune_orders"](spark, str(tmp_path)).collect()]
     assert sorted(kept) == sorted(used)
     assert len(registry.QUERIES["map_prune"](spark, str(tmp_path)).collect()) < len(kept)
+
+
+def test_the_engine_runs_over_every_customer(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(400)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    out = {r["file_ord"]: r["text"] for r in registry.QUERIES["name_scrub_customers"](spark, str(tmp_path)).collect()}
+    assert out == {i: "| Reporter | PERSON_{0:03d} |\nthen PERSON_{0:03d} called PERSON_{0:03d}".format(i + 1) for i in range(400)}
+    assert len({r["text"] for r in registry.QUERIES["irreversible_scrub"](spark, str(tmp_path)).collect()}) == 400
+    assert registry.QUERIES["harvest_xml_customers"](spark, str(tmp_path)).select("value").distinct().count() == 400
+
+
+def test_scrub_documents_switches_the_technical_passes_on(spark, tmp_path):
+    texts = ["host: srv-a1", "see /home/me/x.log end", "git push origin", "a\n-----BEGIN KEY-----\nabc\n-----END KEY-----\nb", "BSN: 123456782"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["scrub_documents"](spark, str(tmp_path)).collect()
+    assert {r["file_ord"]: r["hits"] for r in out} == dict.fromkeys(range(5), 1)
