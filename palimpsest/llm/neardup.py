@@ -27,7 +27,7 @@ one at 0.85 with 7e-9.
 Defined results: without words (null, empty or white space) a set is empty, linked with
 nothing, and the document is its own component; with fewer words than a shingle the whole
 sequence is the one shingle; a row without id has no component of its own (null) and is
-kept; rows that repeat an id are one node; other columns, whatever their names, are not
+kept; rows that repeat an id are one node, with the links of all their texts; other columns, whatever their names, are not
 read.
 """
 
@@ -351,6 +351,32 @@ def _whole_groups(keys: list[np.ndarray], cut: int, rows: int = 2048) -> Iterato
             start = end
 
 
+def _folded(docs: DataFrame, clashing: DataFrame, **more) -> DataFrame:
+    """``near_duplicates`` where ids stand on rows of different sets: each such row is a node
+    under a free number, and nodes of one id are joined once the components are known."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number, room = F.monotonically_increasing_id(), 2**55
+    if high < 2**63 - room:
+        free = F.lit(high + 1) + number
+    elif low > room - 2**63:
+        free = F.lit(low - 1) - number
+    else:
+        raise ValueError("the ids leave no room for numbers of their own")
+    again = stash(_by_id(docs, clashing, "left_semi").select("doc_id", "text", free.alias("node")), "again")
+    once = _by_id(docs, clashing, "left_anti").select("doc_id", "text")
+    found = near_duplicates(once.unionByName(again.select(F.col("node").alias("doc_id"), "text")), **more)
+    found = found.select(F.col("doc_id").alias("node"), "n_shingles", F.col("class_id").alias("set"), F.col("component_id").alias("part"))
+    found = found.join(again.select("node", F.col("doc_id").alias("given")), "node", "left")
+    found = stash(found.withColumn("doc_id", F.coalesce("given", "node")), "found")
+    sets = found.groupBy("set").agg(F.min("doc_id").alias("class_id"))
+    parts = stash(found.groupBy("part").agg(F.min("doc_id").alias("least")), "parts")
+    folds = components(found.filter("given is not null").join(parts, "part").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    folds = stash(folds.select(F.col("node").alias("least"), F.col("component")), "folds")
+    parts = parts.join(folds, "least", "left").select("part", F.coalesce("component", "least").alias("component_id"))
+    out = found.join(sets, "set", "left").join(parts, "part", "left")
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
 def near_duplicates(
     documents: DataFrame,
     doc_col: str = "doc_id",
@@ -370,6 +396,12 @@ def near_duplicates(
     limit = most_unequal(percent / 100, slack)
     sketched = stash(sketches(docs, shingle), "sketch")
     light = sketched.select("doc_id", "n_shingles", "hi", "lo")
+    sets = F.struct("hi", "lo")
+    clashing = light.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("x"), F.max(sets).alias("y")).filter("x != y").select("doc_id")
+    clashing = stash(clashing, "clashing")
+    if not clashing.isEmpty():
+        drop_stash(sketched)
+        return _folded(docs, clashing, shingle=shingle, percent=percent, slack=slack, block=block)
     classes = light.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     classes = stash(classes, "classes")
     reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").filter("n_shingles > 0")

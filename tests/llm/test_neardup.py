@@ -63,6 +63,26 @@ def test_filter_nulls_repeats_and_empty(spark):
     assert N.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_an_id_on_different_texts_has_the_links_of_all(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    near = lambda t: t.rsplit(" ", 3)[0] + " q r s"
+    rows, want = [], {}
+    for i in range(12):  # id 100 + i stands on two texts, each with a near copy and one with a full copy
+        x, y, base = text(), text(), 100 + i
+        rows += [(base, x), (base, y), (200 + i, near(x)), (300 + i, near(y)), (400 + i, y), (50 + i, text())]
+        want |= dict.fromkeys((base, 200 + i, 300 + i, 400 + i), base) | {50 + i: 50 + i}
+    rows += [(7, rows[0][1]), (None, "a b")]  # a full copy with a lesser id than the clashing one
+    want |= dict.fromkeys((7, 100, 200, 300, 400), 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = N.near_duplicates(docs).collect()
+    assert len(out) == len(rows) and {(r["doc_id"], r["component_id"]) for r in out} == {*want.items(), (None, None)}
+    assert all(r["kept"] == (r["doc_id"] is None or want[r["doc_id"]] == r["doc_id"]) for r in out)
+    assert {r["class_id"] for r in out if r["doc_id"] == 411} == {111}
+    left = [r["doc_id"] for r in N.without_near_duplicates(docs).collect()]
+    assert sorted(left, key=str) == sorted([None, *{*want.values()}], key=str)
+
+
 def test_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
