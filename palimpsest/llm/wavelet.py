@@ -9,18 +9,24 @@ access, counting and occurrence lookup a few steps per plane, from one compresse
 File format: each shard is a row of a Parquet table, so any store that Spark writes to
 serves, with its commit protocol against lost executors. Its payload is
 
-    magic "WMX1" | uint32 header length | header (JSON: ids, bits, documents, lengths of
-    the parts) | zstd(doc ids int64, token counts int64) | zstd(bit planes)
+    magic "WMX2" | uint32 header length | header (JSON: ids, bits, documents, lengths of
+    the parts) | zstd(doc ids int64, token counts int64) | zstd(rank directory: set bits of
+    every 512, uint16, plane by plane) | the planes in pieces of 32 KiB, each a zstd frame
 
-Rank counts are rebuilt from the planes on loading. Shards carry their order, their first
-and last doc id and their number of ids, so that a shard is found without reading others.
+so access, count and select inflate the directory and the pieces that they touch. Shards
+carry their order, their first and last doc id and their number of ids, so that a shard is
+found without reading others.
 
 Defined results: a null or empty text has the end id alone; rows that repeat a doc_id
-follow one another, by text; rows without id come first; an empty table gives no shard;
-other columns, whatever their names, are not read.
-
-Scale: one shuffle of the texts, by ranges of doc_id, into ``partitions`` (the session's
-shuffle partitions unless given), each written shard by shard; no text is cut. ``start``
+follow one another, by the first 64 characters of the text and then by its hash; rows
+without id come first; an empty table gives no shard; other columns, whatever their names,
+are not read. A text of any length is encoded whole; its pieces take some 60 bytes each
+while it is.
+
+Scale: one shuffle of the texts, by ranges of doc_id, the beginning and hash of the text and
+the row's place in its file, so that rows that repeat or lack an id are spread as well, into
+``partitions`` (the session's shuffle partitions unless given), each written shard by shard;
+no text is cut. ``start``
 comes from two-level prefix sums over the shards' counts, and is joined by broadcast only
 while the shards are fewer than ``MANY_SHARDS``, else by shuffle.
 """
@@ -32,12 +38,13 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -46,7 +53,9 @@ from pyspark.sql import functions as F
 from .common import pick, prefix_sums, stash, trim
 
 MANY_SHARDS = 500_000
-BATCH_BYTES = 7_000_000
+BATCH_BYTES = 4_000_000
+#: Bytes of a plane that are compressed together.
+PIECE = 32_768
 SHARDS = "part long, seq long, first_id long, last_id long, n_docs long, n_ids long, payload binary"
 
 
@@ -54,30 +63,33 @@ SHARDS = "part long, seq long, first_id long, last_id long, n_docs long, n_ids l
 class WaveletMatrix:
     """Planes of a sequence of non-negative integers, with rank and select."""
 
-    STEP = 512
+    STEP = 512  # bits between two counts of the rank directory
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
-        """planes: the packed bits, most significant plane first."""
+    def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray] | None = None) -> None:
+        """planes: the packed bits, most significant plane first; ones: set bits of each STEP of a plane."""
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self.counts, self.zeros = [], []
-        for p in planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (self.STEP // 8)))).reshape(-1, self.STEP // 8).sum(axis=1, dtype=np.int64)
-            self.counts.append(np.concatenate([[0], np.cumsum(ones)]))
-            self.zeros.append(n - int(self.counts[-1][-1]))
+        ones = [count_ones(p) for p in planes] if ones is None else ones
+        self.counts = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in ones]
+        self.zeros = [n - int(c[-1]) for c in self.counts]
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         return cls(len(ids), part_planes(ids, bits))
 
+    def _bytes(self, level: int, lo: int, hi: int) -> np.ndarray:
+        """Bytes of a plane; all reading goes through here."""
+        return self.planes[level][lo:hi]
+
     def _ones(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
-        block, plane = i // self.STEP, self.planes[level]
-        lo, hi = block * self.STEP // 8, i // 8
-        total = int(self.counts[level][block]) + int(np.bitwise_count(plane[lo:hi]).sum())
-        return total + ((int(plane[hi]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
+        block = i // self.STEP
+        own = self._bytes(level, block * self.STEP // 8, i // 8 + 1)
+        whole = (i - block * self.STEP) // 8
+        total = int(self.counts[level][block]) + int(np.bitwise_count(own[:whole]).sum())
+        return total + ((int(own[whole]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8] >> (i % 8)) & 1
+        return int(self._bytes(level, i // 8, i // 8 + 1)[0] >> (i % 8)) & 1
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -104,6 +116,23 @@ class WaveletMatrix:
         a, b = self._range(value, start, self.n if stop is None else stop)
         return b - a
 
+    def ranks(self, value: int, at: np.ndarray) -> np.ndarray:
+        """How often an id stands before each of many positions."""
+        at = np.append(0, at)
+        if value >> self.bits:
+            return np.zeros(len(at) - 1, np.int64)
+        words = self.STEP // 64
+        for level in range(self.bits):
+            plane = self._bytes(level, 0, (self.n + 7) // 8)
+            plane = np.append(plane, np.zeros(-len(plane) % 64 + 64, np.uint8)).view("<u8").reshape(-1, words)
+            block = at // self.STEP
+            within = at % self.STEP
+            kept = np.clip(within[:, None] - 64 * np.arange(words), 0, 64)  # bits of each word before the position
+            mask = np.where(kept == 64, ~np.uint64(0), (np.uint64(1) << (kept % 64).astype(np.uint64)) - np.uint64(1))
+            ones = self.counts[level][block] + np.bitwise_count(plane[block] & mask).sum(axis=1, dtype=np.int64)
+            at = self.zeros[level] + ones if value >> (self.bits - 1 - level) & 1 else at - ones
+        return at[1:] - at[0]
+
     def _select_bit(self, level: int, bit: int, k: int) -> int:
         """The position of the k-th (from 0) such bit of a plane."""
         counts = self.counts[level]
@@ -111,7 +140,7 @@ class WaveletMatrix:
             counts = np.minimum(np.arange(len(counts)) * self.STEP, self.n) - counts
         block = int(np.searchsorted(counts, k, side="right")) - 1
         lo = block * self.STEP // 8
-        own = np.unpackbits(self.planes[level][lo : lo + self.STEP // 8], bitorder="little")
+        own = np.unpackbits(self._bytes(level, lo, lo + self.STEP // 8), bitorder="little")
         return block * self.STEP + int(np.flatnonzero(own == bit)[k - int(counts[block])])
 
     def select(self, value: int, k: int) -> int:
@@ -130,7 +159,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence."""
-        return join_planes(self.planes, self.n)
+        return join_planes([self._bytes(k, 0, (self.n + 7) // 8) for k in range(self.bits)], self.n)
+
+
+def count_ones(plane: np.ndarray) -> np.ndarray:
+    """The set bits of each STEP of a plane: its rank directory."""
+    width = WaveletMatrix.STEP // 8
+    return np.bitwise_count(np.pad(plane, (0, -len(plane) % width))).reshape(-1, width).sum(axis=1, dtype=np.uint16)
 
 
 def _mask(plane: np.ndarray, n: int) -> pa.BooleanArray:
@@ -172,30 +207,50 @@ def join_planes(planes: list[np.ndarray], n: int) -> np.ndarray:
 def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     """The payload of one shard."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes = part_planes(ids, bits)
     index = squeeze(np.concatenate([doc_ids.astype("<i8"), lengths.astype("<i8")]).tobytes())
-    planes = squeeze(b"".join(p.tobytes() for p in part_planes(ids, bits)))
-    head = json.dumps({"ids": len(ids), "bits": bits, "docs": len(lengths), "index": len(index), "planes": len(planes)}).encode()
-    return b"".join([b"WMX1", struct.pack("<I", len(head)), head, index, planes])
-
-
-def read_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
-    """doc ids, token counts, planes and the number of ids of a payload."""
-    if payload[:4] != b"WMX1":
-        raise ValueError("not a wavelet shard")
-    (n,) = struct.unpack("<I", payload[4:8])
-    head, at = json.loads(payload[8 : 8 + n]), 8 + n
-    open_ = zstandard.ZstdDecompressor().decompress
-    index = np.frombuffer(open_(payload[at : at + head["index"]]), dtype="<i8")
-    data = np.frombuffer(open_(payload[at + head["index"] : at + head["index"] + head["planes"]]), dtype=np.uint8)
-    width = (head["ids"] + 7) // 8
-    planes = [data[k * width : (k + 1) * width] for k in range(head["bits"])]
-    return index[: head["docs"]], index[head["docs"] :], planes, head["ids"]
-
-
-def load(payload: bytes) -> WaveletMatrix:
+    ranks = squeeze(np.concatenate([count_ones(p) for p in planes]).astype("<u2").tobytes())
+    pieces = [[squeeze(p[at : at + PIECE].tobytes()) for at in range(0, len(p), PIECE)] for p in planes]
+    head = json.dumps({"ids": len(ids), "bits": bits, "docs": len(lengths), "index": len(index), "ranks": len(ranks), "pieces": [[len(x) for x in row] for row in pieces]}).encode()
+    return b"".join([b"WMX2", struct.pack("<I", len(head)), head, index, ranks, *[x for row in pieces for x in row]])
+
+
+class Shard(WaveletMatrix):
+    """The sequence of a payload. A piece of a plane is inflated when it is first read."""
+
+    def __init__(self, payload: bytes) -> None:
+        if payload[:4] != b"WMX2":
+            raise ValueError("not a wavelet shard")
+        (size,) = struct.unpack("<I", payload[4:8])
+        head, at = json.loads(payload[8 : 8 + size]), 8 + size
+        self._inflate = zstandard.ZstdDecompressor().decompress
+        index = np.frombuffer(self._inflate(payload[at : at + head["index"]]), "<i8")
+        self.doc_ids, self.lengths = index[: head["docs"]], index[head["docs"] :]
+        at += head["index"]
+        ranks = np.frombuffer(self._inflate(payload[at : at + head["ranks"]]), "<u2").reshape(head["bits"], -1)
+        self._payload, self._places, at = payload, [], at + head["ranks"]
+        for row in head["pieces"]:
+            stops = at + np.cumsum([0, *row])
+            self._places.append(stops.tolist())
+            at = int(stops[-1])
+        self._open: dict[tuple[int, int], np.ndarray] = {}
+        super().__init__(head["ids"], [None] * head["bits"], list(ranks))
+
+    def _piece(self, level: int, k: int) -> np.ndarray:
+        if (level, k) not in self._open:
+            start, stop = self._places[level][k : k + 2]
+            self._open[level, k] = np.frombuffer(self._inflate(self._payload[start:stop]), np.uint8)
+        return self._open[level, k]
+
+    def _bytes(self, level: int, lo: int, hi: int) -> np.ndarray:
+        last = min(hi, (self.n + 7) // 8)
+        parts = [self._piece(level, k)[max(0, lo - k * PIECE) : last - k * PIECE] for k in range(lo // PIECE, -(-last // PIECE))]
+        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.empty(0, np.uint8)])
+
+
+def load(payload: bytes) -> Shard:
     """The sequence of a shard, for access, count and select."""
-    _, _, planes, n = read_shard(payload)
-    return WaveletMatrix(n, planes)
+    return Shard(payload)
 
 
 # --- encoding ------------------------------------------------------------------------------
@@ -211,6 +266,53 @@ def _tokenizer(path: str):
 _LETTERS_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([\x00-&(-/:-@\[-`{-\x7f]*)")
 
 
+class _Known:
+    """Id sequences by the 128-bit digest of their text, in sorted arrays: some 40 bytes an entry.
+
+    Beyond ``most`` entries, or ``most_bytes`` of ids, the memory is emptied.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int, most_bytes: int = 64_000_000) -> None:
+        self.learn, self.most, self.most_bytes = learn, most, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.high, self.low = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.stop, self.raw = np.empty(0, np.uint32), np.empty(0, np.uint32), b""
+
+    def __len__(self) -> int:
+        return len(self.high)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of distinct texts, as bytes; those not met before are learnt."""
+        if not texts:
+            return []
+        if len(self) > self.most or len(self.raw) > self.most_bytes:
+            self.clear()
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+        order = np.argsort(digests[:, 0])  # searching in order keeps to near memory
+        high, low = digests[order, 0], digests[order, 1]
+        at = np.searchsorted(self.high, high)
+        out = np.empty(len(texts), object)
+        known = np.zeros(len(texts), bool)
+        if len(self):
+            near = np.minimum(at, len(self) - 1)
+            known = (self.high[near] == high) & (self.low[near] == low)
+            near = near[known]
+            out[order[known]] = [self.raw[a:b] for a, b in zip(self.start[near].tolist(), self.stop[near].tolist(), strict=True)]
+        new = order[~known]
+        if len(new):
+            found = self.learn([texts[i] for i in new.tolist()])
+            out[new] = found
+            stops = len(self.raw) + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            starts = np.concatenate([[len(self.raw)], stops[:-1]])
+            at = at[~known]
+            self.high, self.low = np.insert(self.high, at, high[~known]), np.insert(self.low, at, low[~known])
+            self.start, self.stop = np.insert(self.start, at, starts), np.insert(self.stop, at, stops)
+            self.raw += b"".join(found)
+        return out.tolist()
+
+
 class Encoder:
     """Encodes whole texts piece by piece, remembering the ids of pieces.
 
@@ -219,80 +321,59 @@ class Encoder:
     space or a line feed; none crosses from a letter to a sign but for the apostrophe; and
     letters of the first 256 code points have one-letter lower-case forms that normalise to
     themselves. New letter runs are encoded together, between spaces, and told apart by
-    the word-end ids; signs and every other piece are encoded by themselves. At most
-    ``most`` letter runs are remembered; then the memory is emptied.
+    the word-end ids; signs and every other piece are encoded by themselves. About ``most``
+    pieces and as many letter runs are remembered.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 1_500_000) -> None:
         self.tokenizer = _tokenizer(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(max(vocabulary.values()), end_id).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.word_end = np.zeros(1 << self.bits, bool)
         self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.end, self.most = np.array([end_id], self.kind).tobytes(), most
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.end = self._bytes([end_id])
+        self.pieces, self.runs, self.signs = _Known(self._pieces, most), _Known(self._runs, most), _Known(self._alone, most // 10)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        if "" in runs:
-            runs.remove("")
-            self.runs[""] = b""
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(found.ids) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(runs), 1000):
             some = runs[at : at + 1000]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(some):  # no word-end ids: one by one
-                for run in some:
-                    self.runs[run] = self._bytes(self.tokenizer.encode(run, add_special_tokens=False).ids)
+                out += self._alone(some)
                 continue
-            raw, size, start = ids.tobytes(), self.kind.itemsize, 0
-            for run, end in zip(some, (ends * size).tolist(), strict=True):
-                self.runs[run] = raw[start:end]
-                start = end
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.pieces[piece] = self._bytes(found.ids)
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, as bytes."""
-        runs, whole, match = self.runs, self.pieces, _LETTERS_SIGNS.fullmatch
-        if len(runs) > self.most:
-            runs.clear()
-        if len(whole) > self.most // 4:
-            whole.clear()
-        split_runs, split_signs = [], []
-        for piece in pieces:
-            m = match(piece)
-            run, signs = m.groups() if m else ("", piece)
-            split_runs.append(run.lower())
-            split_signs.append(signs)
-        self._learn_pieces(list(set(split_signs).difference(whole)))
-        self._learn_runs(list(set(split_runs).difference(runs)))
-        return [runs[r] + whole[s] if s else runs[r] for r, s in zip(split_runs, split_signs, strict=True)]
+            raw, stops = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        match = _LETTERS_SIGNS.fullmatch
+        split = [m.groups() if (m := match(piece)) else ("", piece) for piece in pieces]
+        runs, signs = list({r.lower() for r, _ in split if r}), list({s for _, s in split if s})
+        of_run, of_sign = dict(zip(runs, self.runs.ids(runs), strict=True)), dict(zip(signs, self.signs.ids(signs), strict=True))
+        of_run[""] = of_sign[""] = b""
+        return [of_run[r.lower()] + of_sign[s] for r, s in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each has."""
         # Arrow splits and numbers the pieces; only distinct ones are looked up here
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        found = [*self._ids_of(coded.dictionary.to_pylist()), self.end]
-        flat = np.frombuffer(b"".join(found), self.kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        starts = np.cumsum(sizes) - sizes
+        found = [*self.pieces.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end]
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(found) - 1)  # the end id after each text
-        size = sizes[which]
-        upto = np.cumsum(size)
-        kind = np.int32 if len(upto) and upto[-1] < 2**31 else np.int64
-        at = np.repeat((starts[which] - (upto - size)).astype(kind), size)
-        at += np.arange(len(at), dtype=kind)
-        ids = flat[at]
+        which = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)  # the end id after each text
+        flat = pa.array(found, pa.large_binary()).take(pa.array(which))
+        ids = np.frombuffer(flat.buffers()[2], self.kind) if len(which) else np.empty(0, self.kind)
+        upto = np.frombuffer(flat.buffers()[1], np.int64)[1 : len(which) + 1] // self.kind.itemsize
         text_ends = upto[ends + np.arange(len(ends))] if len(ends) else ends
         return ids, np.diff(text_ends, prepend=0)
 
@@ -313,7 +394,9 @@ def encode_shards(
     docs = pick(documents, [(doc_col, "doc_id"), (text_col, "text")])
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
+    order = ["doc_id", "lead", "hash", "place"]
+    docs = docs.select("doc_id", "text", F.substring("text", 1, 64).alias("lead"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    docs = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer_path, end_id) not in _encoders:
@@ -372,8 +455,8 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return rows.join(parts, F.col("part") == F.col("p")).select("part", "seq", (F.col("base") + F.col("before")).alias("start"))
 
 
-def decode_shards(shards: DataFrame) -> DataFrame:
-    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32."""
+def decode_shards(shards: DataFrame, end_id: int = 1) -> DataFrame:
+    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32, and how often the end id is in it."""
     starts = shard_starts(shards.select("part", "seq", "n_ids"))
     if shards.select("part").count() < MANY_SHARDS:  # then payloads stay where they are
         starts = F.broadcast(starts)
@@ -382,25 +465,28 @@ def decode_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                who, lengths, planes, n = read_shard(payload.as_buffer().to_pybytes())
-                ids = memoryview(join_planes(planes, n).astype("<u4").tobytes())
+                shard = Shard(payload.as_buffer().to_pybytes())
+                who, lengths = shard.doc_ids, shard.lengths
+                ids = memoryview(shard.ids().astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 null = who == np.iinfo(np.int64).min
+                n_end = np.diff(shard.ranks(end_id, ends), prepend=0)  # from the planes and the rank directory
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(who, pa.int64(), mask=null), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(who, pa.int64(), mask=null), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(n_end, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "n_end"],
                 )
+        trim()
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end long")
 
 
-def token_table(documents: DataFrame, tokenizer_path: str, path: str | None = None, **more) -> DataFrame:
+def token_table(documents: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1, **more) -> DataFrame:
     """Write the documents' shards, read the files back and return a row per document."""
-    shards = encode_shards(documents, tokenizer_path, **more)
+    shards = encode_shards(documents, tokenizer_path, end_id=end_id, **more)
     if path is None:
         shards = stash(shards, "tokens")
     else:
         write_shards(shards, path)
         shards = documents.sparkSession.read.schema(SHARDS).parquet(path)
-    return decode_shards(shards)
+    return decode_shards(shards, end_id)

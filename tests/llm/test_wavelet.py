@@ -48,7 +48,35 @@ def test_wide_ids_round_trip():
     ids = np.array([0, 70_000, 1, 70_000, 131_071])
     assert V.join_planes(V.part_planes(ids, 17), 5).tolist() == ids.tolist()
     with pytest.raises(ValueError):
-        V.read_shard(b"nothing")
+        V.load(b"nothing")
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=3000), st.integers(0, 9))
+def test_a_payload_answers_like_its_list(ids, value):
+    lengths = np.array([len(ids)])
+    shard = V.load(V.write_shard(np.array([4]), lengths, np.array(ids, np.uint16), 4))
+    assert shard.ids().tolist() == ids and shard.count(value) == ids.count(value)
+    at = np.arange(0, len(ids) + 1, 7)
+    assert shard.ranks(value, at).tolist() == [ids[:i].count(value) for i in at]
+    assert [shard.access(i) for i in range(0, len(ids), 311)] == ids[::311]
+    assert shard.occurrences(value)[:9] == [i for i, x in enumerate(ids) if x == value][:9]
+
+
+def test_access_inflates_few_pieces():
+    ids = np.random.default_rng(1).integers(0, 49_000, 2_000_000)
+    shard = V.load(V.write_shard(np.array([1]), np.array([len(ids)]), ids, 16))
+    assert shard.access(1_234_567) == ids[1_234_567] and len(shard._open) <= 2 * 16
+    value = int(ids[77])
+    assert shard.count(value) == int((ids == value).sum()) and shard.select(value, 1) == np.flatnonzero(ids == value)[1]
+    assert len(shard._open) <= 8 * 16
+
+
+def test_the_memory_of_pieces_is_emptied():
+    known = V._Known(lambda texts: [x.encode() for x in texts], most=10)
+    for k in range(9):
+        some = [f"{k}-{i}" for i in range(8)] + ["always", "ß"]
+        assert known.ids(some) == [x.encode() for x in some] and len(known) <= 20
 
 
 def test_table_from_files(spark, tmp_path):
@@ -59,7 +87,7 @@ def test_table_from_files(spark, tmp_path):
     want, start = [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
-        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes()), int((ids == 1).sum())))
         start += len(ids)
     assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
     shards = spark.read.parquet(str(tmp_path / "shards")).orderBy("part", "seq").collect()
