@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -77,19 +81,19 @@ def bounded_sample(labelled: DataFrame, id_col: str, group_col: str, bound: int)
     """
     span = float(2**60)
     rows = labelled.withColumn("__h", stable_hash(F.col(id_col)))
-    counts = rows.groupBy(group_col).count().limit(100_001).collect()
-    if len(counts) > 100_000:
-        raise ValueError(f"column {group_col} has over 100,000 values; it is no label")
-    keep = F.lit(False)
-    for r in counts:
-        share = min(1.0, 4.0 * bound / max(1, r["count"]))
-        same = F.col(group_col).eqNullSafe(F.lit(r[group_col]))
-        keep = keep | (same & (F.col("__h") <= F.lit(int(share * span))))
-    from pyspark.sql import Window as W
-
+    counts = rows.groupBy(F.col(group_col).alias("__group")).agg(F.count("*").alias("__n"))
+    near = F.col("__h") <= F.least(F.lit(1.0), F.lit(4.0 * bound) / F.col("__n")) * F.lit(span)
     w = W.partitionBy(group_col).orderBy("__h", id_col)
-    ranked = rows.filter(keep).withColumn("__rank", F.row_number().over(w))
-    return ranked.filter(F.col("__rank") <= bound).drop("__h", "__rank")
+    ranked = rows.join(counts, F.col(group_col).eqNullSafe(F.col("__group"))).filter(near).withColumn("__rank", F.row_number().over(w))
+    return ranked.filter(F.col("__rank") <= bound).drop("__h", "__rank", "__group", "__n")
+
+
+def batches_of(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes."""
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * size / max(b.nbytes, 1))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_col: str, out_col: str, block: int = 1024) -> DataFrame:
@@ -98,8 +102,6 @@ def prefix_sums(df: DataFrame, order_col: str, value_col: str, out_col: str, blo
     Blocks of ``block`` rows are summed on their own and only the blocks' totals meet in
     one task, so no task sees more than a thousandth of the rows.
     """
-    from pyspark.sql import Window as W
-
     rows = df.withColumn("__block", F.floor(F.col(order_col) / block))
     inner = W.partitionBy("__block").orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum(value_col).over(inner), F.lit(0)))
@@ -113,6 +115,13 @@ def prefix_sums(df: DataFrame, order_col: str, value_col: str, out_col: str, blo
     )
 
 
+@lru_cache(1)
+def letters_pattern() -> re.Pattern:
+    """Runs of letters: of word characters those that are no digit, underscore or other number (as ½, ² or Ⅷ)."""
+    other = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(other)}]+")
+
+
 def trim() -> None:
     """Give memory that a finished task has freed back to the machine: Python workers live on."""
     pa.default_memory_pool().release_unused()
