@@ -36,6 +36,22 @@ def test_edited_fingerprint_is_that_of_the_edited_text(texts):
     assert S.to_text(edited) == S.to_text(S.bottom(S.anchors(S.code_points(text))))
 
 
+def test_short_texts_are_told_apart():
+    """Lengths at which a text may have no syncmer, against single k-mers."""
+    rng, seen = random.Random(8), {}
+    for _ in range(600):
+        text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(14, 24)))
+        points = S.code_points(text)
+        print_ = S.to_text(S.bottom(S.anchors(points)))
+        at = naive(points)
+        if not at:
+            assert print_ == hashlib.blake2b(points.tobytes(), digest_size=4).hexdigest()
+        assert print_ and len(S.anchors(points)) == max(1, len(at)) and seen.setdefault(print_, text) == text
+        assert S.to_text(S._Doc(0, text).print) == print_
+    a, b = S._Doc(0, "abcdefghijklmnopqrstuvwxyz0123456789"), S._Doc(1, "q" * 40)
+    assert len(a.edited(b)[1])
+
+
 def test_likeness():
     e, x = S.from_text(""), S.bottom(S.anchors(S.code_points("some text that is long enough to have anchors " * 3)))
     assert S.likeness(e, e) == 1 and S.likeness(e, x) == 0 and S.likeness(x, x) == 1
