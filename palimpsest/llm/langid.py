@@ -12,15 +12,18 @@ Defined results: ``und`` with score 0 for null texts and texts without a letter,
 all texts if nothing could be learnt; rows without id are predicted, never learnt from;
 repeated rows are predicted alike; other columns, whatever their names, are not read.
 
-Scale: the text learnt from is bounded (``chars`` letters of whole documents a language, of
-at most ``docs`` documents with the least hash of their id), so the models have a size
-bound; each Python worker builds them once. Prediction is one narrow pass over whole texts.
+Letters are those of Unicode's letter classes: ½, ² and Ⅷ are none. An id that stands on
+several rows is learnt from one of its texts, the least by hash. A text of any length is
+parsed whole; its words take some 60 bytes each while it is.
+
+Scale: the text learnt from is bounded (``chars`` characters a language, of at most ``docs``
+documents with the least hash of their id, the last of them learnt up to there), so the
+models have a size bound; each Python worker builds them once. Prediction is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, pick
+from .common import batches_of, bounded_sample, letters_pattern, pick
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = letters_pattern()
 
 
 class SuffixAutomaton:
@@ -169,15 +172,17 @@ class CrossParser:
 
 
 def fit(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = 120, chars: int = 60_000) -> dict[str, str]:
-    """The text that each language is known by: whole documents up to about ``chars`` letters."""
+    """The text that each language is known by: documents of the sample up to ``chars`` characters."""
     rows = pick(documents, [(doc_col, "doc_id"), (text_col, "text"), (lang_col, "lang")]).dropna()
-    ids = bounded_sample(rows.select("doc_id", "lang"), "doc_id", "lang", docs).select("doc_id", "lang").distinct()
-    found = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+    ids = bounded_sample(rows.select("doc_id", "lang").distinct(), "doc_id", "lang", docs).select("doc_id", "lang")
+    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # of a longer text the driver gets, and a language learns, the first ``chars`` characters
+    found = found.select("lang", "doc_id", F.substring("text", 1, chars).alias("text"))
     out: dict[str, str] = {}
-    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["doc_id"])):
         have = out.setdefault(r["lang"], "")
         if len(have) < chars:
-            out[r["lang"]] = have + sample_text(r["text"])
+            out[r["lang"]] = (have + sample_text(r["text"]))[:chars]
     return {k: v for k, v in out.items() if v.strip()}
 
 
@@ -194,7 +199,7 @@ def predict_language(documents: DataFrame, texts: dict[str, str], doc_col: str =
             _parsers.clear()
             _parsers[known] = CrossParser(shared.value)
         parser = _parsers[known]
-        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        for b in batches_of(batches, rows=500, size=2_000_000):
             found = parser.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
