@@ -11,10 +11,13 @@ benchmark rows count once for each distinct item id; rows without an item id are
 items; an empty benchmark hits nothing; other columns, whatever their names, are not
 read.
 
-Scale: one narrow pass over the documents, no shuffle. The automaton is built in each
-Python worker from a broadcast list of windows. Items are cut into slices of at most
-``slice_chars`` characters; a benchmark of more than one slice is scanned slice by
-slice over the same batch, so memory is bounded by one slice's automaton.
+Scale: one narrow pass over the documents, no shuffle. The benchmark's size is summed
+first: up to ``slice_chars`` characters it is broadcast, and each Python worker builds and
+keeps one automaton of it. A larger one is cut by the hash of the item id into slices of
+about that size; the documents, written with a key for each row, are scanned once for each
+slice, with one broadcast and one automaton at a time, and a document's hits meet it again
+by its key. A text of any length is scanned whole; its words take some 60 bytes each while
+it is.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stash
 
 #: A-Z to a-z; 0-9, a-z and bytes of other scripts as they are; the rest to a space.
 _FOLD = bytes(
@@ -82,13 +85,23 @@ class Matcher:
         return out
 
 
+Hit = tuple[int, int, tuple[str, ...]]
+
+
 def scan_text(text: bytes | None, matchers: list[Matcher], spans: bool = True) -> tuple[int, int, list[str], list]:
     """Words, hit words, sorted item ids and the hits' character spans in the original."""
     words = words_of(text)
-    if not words:
-        return 0, 0, [], []
+    return summary(text, words, hits_of(words, matchers), spans)
+
+
+def hits_of(words: list[bytes], matchers: list[Matcher]) -> list[Hit]:
+    """Where windows occur among the words of a text."""
     normal = f" {b' '.join(words).decode('latin-1')} "
-    found = [hit for m in matchers for hit in m.scan(normal)]
+    return [hit for m in matchers for hit in m.scan(normal)] if words else []
+
+
+def summary(text: bytes | None, words: list[bytes], found: list[Hit], spans: bool) -> tuple[int, int, list[str], list]:
+    """The same as ``scan_text``, of hits that are known."""
     if not found:
         return len(words), 0, [], []
     edge = np.zeros(len(words) + 1, dtype=np.int64)
@@ -107,39 +120,53 @@ def scan_text(text: bytes | None, matchers: list[Matcher], spans: bool = True) -
     return len(words), n_hit, ids, places
 
 
-def benchmark_slices(benchmark: DataFrame, item_col: str, text_col: str, slice_chars: int) -> list[list[tuple[str, bytes]]]:
-    """Items with an id and a text, cut into slices of at most ``slice_chars`` characters."""
-    slices: list[list[tuple[str, bytes]]] = [[]]
-    room = slice_chars
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_chars: int) -> list[DataFrame]:
+    """Items with an id and a text, cut into tables of about ``slice_chars`` characters."""
     rows = pick(benchmark, [(item_col, "item"), (text_col, "text")]).dropna().distinct()
-    for r in rows.toLocalIterator():
-        if len(r["text"]) > room and slices[-1]:
-            slices.append([])
-            room = slice_chars
-        slices[-1].append((str(r["item"]), r["text"].encode("utf-8")))
-        room -= len(r["text"])
-    return slices
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-total // slice_chars))
+    return [rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
 class _Matchers:
-    """Matchers of each slice, kept by the worker only where there is a single slice."""
+    """The automaton of a broadcast slice; the worker keeps the one that it used last."""
+
+    _kept: tuple[list, int, list[Matcher]] | None = None
+
+    def __init__(self, items: DataFrame, n: int) -> None:
+        found = [(str(r["item"]), r["text"].encode("utf-8")) for r in items.collect()]  # at most a slice
+        self.shared, self.n = items.sparkSession.sparkContext.broadcast(found), n
 
-    _kept: dict[int, list[Matcher]] = {}
+    def all(self) -> list[Matcher]:
+        items, kept = self.shared.value, _Matchers._kept
+        if kept is None or kept[0] is not items or kept[1] != self.n:
+            # the value is held with its automaton, so that no other can take its place in memory
+            _Matchers._kept = kept = (items, self.n, [Matcher(items, self.n)])
+        return kept[2]
 
-    def __init__(self, shared, n: int) -> None:
-        self.shared, self.n = shared, n
 
-    def passes(self) -> Iterator[list[Matcher]]:
-        slices = self.shared.value
-        if len(slices) == 1:
-            key = id(self.shared.value)
-            if key not in self._kept:
-                self._kept.clear()
-                self._kept[key] = [Matcher(slices[0], self.n)]
-            yield self._kept[key]
-        else:
-            for s in slices:
-                yield [Matcher(s, self.n)]
+_HITS = "key long, hits array<struct<first:int,size:int,items:array<string>>>"
+_HIT = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("items", pa.list_(pa.string()))]))
+
+
+def _sliced_hits(keyed: DataFrame, slices: list[DataFrame], n: int) -> DataFrame:
+    """key and all hits of the documents (key, text) that have any; a pass for each slice."""
+    found = None
+    for items in slices:
+        kept = _Matchers(items, n)
+
+        def run(batches: Iterator[pa.RecordBatch], kept: _Matchers = kept) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                matchers = kept.all()
+                hits = [hits_of(words_of(t), matchers) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                mine = [k for k, h in enumerate(hits) if h]
+                column = pa.array([[{"first": f, "size": s, "items": list(i)} for f, s, i in hits[k]] for k in mine], _HIT)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(mine, pa.int64())), column], names=["key", "hits"])
+
+        part = stash(keyed.select("key", "text").mapInArrow(run, _HITS), "hits")
+        kept.shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def find_contamination(
@@ -154,25 +181,24 @@ def find_contamination(
     slice_chars: int = 20_000_000,
 ) -> DataFrame:
     """One row per document: words, hit words, the items found and where they stand."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(benchmark_slices(benchmark, item_col, item_text_col, slice_chars))
-    kept = _Matchers(shared, n)
+    slices = _slices(benchmark, item_col, item_text_col, slice_chars)
+    docs = pick(documents, [(doc_col, "doc_id"), (text_col, "text")])
+    kept = None
+    if len(slices) == 1:
+        kept = _Matchers(slices[0], n)
+    else:
+        keyed = stash(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
+        docs = keyed.join(_sliced_hits(keyed, slices, n), "key", "left").select("doc_id", "text", "hits")
     place = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("item_id", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = len(shared.value) > 1
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            if many:  # one slice's automaton at a time, the batch against each
-                parts: list[list[tuple]] = [[] for _ in texts]
-                for ms in kept.passes():
-                    for i, t in enumerate(texts):
-                        normal = f" {b' '.join(words_of(t)).decode('latin-1')} "
-                        parts[i] += [hit for m in ms for hit in m.scan(normal)]
-                rows = [scan_text(t, [_Known(p)], spans) for t, p in zip(texts, parts, strict=True)]
+            if kept is not None:
+                rows = [scan_text(t, kept.all(), spans) for t in texts]
             else:
-                (ms,) = kept.passes()
-                rows = [scan_text(t, ms, spans) for t in texts]
+                hits = [[(h["first"], h["size"], tuple(h["items"])) for h in x or []] for x in b.column(2).to_pylist()]
+                rows = [summary(t, words_of(t), h, spans) for t, h in zip(texts, hits, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -184,32 +210,23 @@ def find_contamination(
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return pick(documents, [(doc_col, "doc_id"), (text_col, "text")]).mapInArrow(run, RESULT)
-
-
-class _Known:
-    """Hits that are already found, in a matcher's place."""
-
-    def __init__(self, hits: list) -> None:
-        self.hits = hits
-
-    def scan(self, _: str) -> list:
-        return self.hits
+    return docs.mapInArrow(run, RESULT)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", n: int = 8, **more) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 8, slice_chars: int = 20_000_000) -> DataFrame:
     """The documents, all columns, in which fewer than ``min_items`` items have windows."""
-    slices = benchmark_slices(benchmark, more.get("item_col", "item_id"), more.get("item_text_col", "text"), more.get("slice_chars", 20_000_000))
-    shared = documents.sparkSession.sparkContext.broadcast(slices)
-    kept = _Matchers(shared, n)
+    slices = _slices(benchmark, item_col, item_text_col, slice_chars)
+    if len(slices) > 1:
+        keyed = documents.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+        keyed = stash(keyed.withColumn("key", F.monotonically_increasing_id()), "keyed")
+        hits = _sliced_hits(keyed, slices, n).withColumn("n", F.size(F.array_distinct(F.flatten("hits.items"))))
+        return keyed.join(hits.filter(F.col("n") >= min_items), "key", "left_anti").select("row.*")
+    kept = _Matchers(slices[0], n)
 
     @F.pandas_udf("int")
     def n_items(texts: pd.Series) -> pd.Series:
-        found: list[set[str]] = [set() for _ in texts]
-        for ms in kept.passes():
-            for i, t in enumerate(texts):
-                if t is not None:
-                    found[i].update(scan_text(t.encode("utf-8"), ms, spans=False)[2])
+        matchers = kept.all()
+        found = [scan_text(t.encode("utf-8"), matchers, spans=False)[2] if t is not None else [] for t in texts]
         return pd.Series([len(x) for x in found], dtype="int32")
 
     return documents.filter(n_items(F.col(f"`{text_col}`")) < min_items)

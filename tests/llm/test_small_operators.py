@@ -185,3 +185,36 @@ def test_html_table(spark):
 def test_tree_learns_its_table():
     table = np.array(H.LABELLED, float)
     assert np.mean([H.classify(H.default_tree(), r) == bool(y) for r, y in zip(table[:, :-1], table[:, -1], strict=True)]) > 0.97
+
+
+def test_one_worker_serves_other_benchmarks_and_windows():
+    """What a worker keeps is told apart by the broadcast value itself and by the window."""
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    text = b"one two three four five six seven eight nine"
+
+    def count(items, n):
+        m = D._Matchers.__new__(D._Matchers)
+        m.shared, m.n = items, n
+        return D.scan_text(text, m.all())[1]
+
+    first, second = Shared([("a", b"two three four")]), Shared([("b", b"eight nine")])
+    assert [count(first, 8), count(first, 2), count(second, 8), count(first, 8), count(Shared([("c", b"zero one")]), 2)] == [3, 3, 2, 3, 0]
+
+
+def test_a_large_benchmark_in_slices_gives_the_same(spark):
+    rng = random.Random(7)
+    w = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh", "é", "x1"]) for _ in range(n))
+    items = [(f"i{k}", w(rng.choice([3, 9, 20]))) for k in range(30)] + [("i0", None), (None, "ab cd")]
+    docs = [(i % 20, f"{w(20)} {items[i % 30][1].upper()}. {w(5)}", "r") for i in range(40)] + [(7, None, "r"), (8, "", "r"), (None, w(60), "r")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string, row string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    plain = lambda rows: sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), tuple(sorted((x["start"], x["stop"], x["item_id"]) for x in r["spans"]))) for r in rows), key=str)
+    whole, cut = (plain(D.find_contamination(documents, benchmark, slice_chars=size).collect()) for size in (10**6, 100))
+    assert whole == cut and any(x[2] for x in cut)
+    for least in (1, 3):
+        left = [sorted(map(tuple, D.decontaminate(documents, benchmark, min_items=least, slice_chars=size).collect()), key=str) for size in (10**6, 100)]
+        assert left[0] == left[1]
