@@ -1,10 +1,13 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block is described by its own word
-count and link density, those of its neighbours, and where it stands (inside, outside or
-without an article element, inside a container that names itself a menu, footer, advert,
-comment list and so on, as a heading). A decision tree, grown on the small labelled table
-below, says which blocks are main text; their texts are joined in page order.
+count and link density, those of its neighbours, and where it stands: inside, outside or
+without an article element (one that holds little of a page's running text counts for
+nothing), as a heading, and inside a container that is a menu, footer, advert, comment list
+and so on by its element or its whole name (2), or has such a word among others in its name
+(1), of which only words and links can tell whether it is text. A decision tree, grown on
+the small labelled table below, says which blocks are main text; their texts are joined in
+page order.
 
 Scripts, styles, the head, hidden elements, form controls and comments never yield blocks.
 Character references are decoded piece by piece, so markup between the parts of one is
@@ -37,7 +40,7 @@ BLOCK = set(
 SPACE = {"br", "td", "th", "img", "wbr"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "template", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "map", "datalist", "label", "output"}
+DROPPED = {"head", "template", "svg", "annotation", "annotation-xml", "select", "button", "object", "audio", "video", "canvas", "map", "datalist", "label", "output"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset", "dir"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status"}
 #: Words of class and id names by which containers call themselves something other than text.
@@ -52,7 +55,17 @@ NAMES = set(
 )
 #: Of those, the words that layouts also give to a wrapper around the text itself.
 LAYOUT = set("nav navbar menu menubar topbar toolbar header side sidebar rail banner overlay search widget".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)|[!?][^>]*(?:>|\Z)|/[^A-Za-z][^>]*(?:>|\Z))", re.S)
+#: Of those, the words that say so in any company: "comment-text" is no text, "review-text" may be.
+CLEAR = set(
+    "advert adverts advertisement advertising adsense sponsored navbar breadcrumb breadcrumbs footer sidebar"
+    " comment comments commentlist reply replies disqus gdpr newsletter pager pagination taglist tagcloud searchbox".split()
+)
+#: Words that say nothing of what a container holds.
+NEUTRAL = set(
+    "list lists item items box boxes container wrapper wrap bar section block inner outer site page button buttons link links post posts area zone slot unit"
+    " top bottom left right center primary secondary main global fixed sticky mobile desktop col column row grid group panel strip google cookie policy us".split()
+)
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)|[!?][^>]*(?:>|\Z)|/[^A-Za-z][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -64,8 +77,8 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: bool
-    hard: bool  # boiler not by the name of a layout alone
+    boiler: int
+    hard: int  # boiler without the names of layouts
     article: int  # 1 inside an article, -1 outside of the page's article, 0 on a page without
     heading: bool
 
@@ -73,8 +86,8 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    boiler: bool
-    hard: bool
+    boiler: int
+    hard: int
     article: bool
     hidden: bool
 
@@ -104,7 +117,7 @@ class _Page:
             words = "".join(self.pieces).split()
             if words:
                 top = self.stack[-1] if self.stack else None
-                self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), bool(top and top.boiler), bool(top and top.hard), int(bool(top and top.article)), self.heading))
+                self.blocks.append(Block(" ".join(words), len(words), min(self.linked, len(words)), top.boiler if top else 0, top.hard if top else 0, int(bool(top and top.article)), self.heading))
             self.pieces = []
         self.linked = 0
 
@@ -122,17 +135,17 @@ class _Page:
             self.links = 1
         if tag in VOID or not (tag in BLOCK or tag in DROPPED or "class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs):
             return
-        top = self.stack[-1] if self.stack else _Open("", False, False, False, False)
+        top = self.stack[-1] if self.stack else _Open("", 0, 0, False, False)
         boiler, hard, article, hidden = top.boiler, top.hard, top.article, top.hidden or tag in DROPPED
-        named = _says(attrs) if attrs and tag not in ("html", "body") else (False, False, False)
+        named = _says(attrs) if attrs and tag not in ("html", "body") else (0, 0, False)
         if tag in ("article", "main"):
             # a text's own element stands for text, whatever the layout around it is called
             self.has_article = article = True
-            boiler = hard = hard or named[1]
+            boiler = hard = max(hard, named[1])
         else:
-            boiler, hard = boiler or named[0], hard or named[1]
+            boiler, hard = max(boiler, named[0]), max(hard, named[1])
         if tag in BOILER or tag == "header" and not article:
-            boiler = hard = True
+            boiler = hard = 2
         self.stack.append(_Open(tag, boiler, hard, article, hidden or named[2]))
 
     def _end_open(self, tag: str, stop: tuple[str, ...]) -> None:
@@ -158,19 +171,26 @@ class _Page:
                     pass
 
 
-def _says(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes name a container of something other than text, whether not by a layout's word alone, and whether they hide it."""
-    named = hard = hidden = False
+def _says(attrs: str) -> tuple[int, int, bool]:
+    """How far attributes name a container of something other than text (0, 1, 2), the same without layouts' words, and whether they hide it."""
+    named = hard = 0
+    hidden = False
     low = attrs.lower()
     if "hidden" in low:
         hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", low))) or 'aria-hidden="true"' in low
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in _NAME.findall(value)} & NAMES
-            named, hard = named or bool(words), hard or bool(words - LAYOUT)
+            for token in value.split():
+                words = {w.lower() for w in _NAME.findall(token)}
+                for found, rest in ((words & NAMES, words - NAMES), (words & NAMES - LAYOUT, words - NAMES)):
+                    level = 0 if not found else 2 if found & CLEAR or not rest - NEUTRAL else 1
+                    if found & LAYOUT:
+                        named = max(named, level)
+                    elif found:
+                        named, hard = max(named, level), max(hard, level)
         elif name == "role" and value.lower() in ROLES:
-            named = hard = True
+            named = hard = 2
         elif name == "style":
             hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
     return named, hard, hidden
@@ -213,8 +233,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         state.start(tag, attrs)
     state.close()
+    running = [b for b in state.blocks if b.boiler < 2 and b.words >= 10 and 3 * b.linked < b.words]
+    inside = sum(b.words for b in running if b.article)
+    outside = sum(b.words for b in running if not b.article)
+    teaser = outside >= 40 and outside > 2 * inside  # articles that hold little of the text
     for b in state.blocks:
-        b.article = b.article if b.article else -int(state.has_article)
+        b.article = -b.article if teaser else b.article if b.article else -int(state.has_article)
     return state.blocks
 
 
@@ -236,21 +260,42 @@ LABELLED = [
     (300, 0.01, 8, 0.0, 10, 0.0, 0, 1, 0, 1), (25, 0.1, 6, 1.0, 12, 0.0, 0, 1, 0, 1), (4, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 1),
     (12, 0.3, 60, 0.0, 50, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 0, 1, 0, 1), (3, 0.0, 7, 0.0, 6, 0.3, 0, 1, 0, 1),
     (7, 0.4, 20, 0.0, 20, 0.0, 0, 1, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 90, 0.0, 4, 1.0, 0, 1, 0, 1),
+    # in an article, next to links: text stays text, and so does a paragraph that is mostly a link
+    (60, 0.0, 12, 0.8, 0, 0.0, 0, 1, 0, 1), (40, 0.0, 9, 0.9, 30, 0.0, 0, 1, 0, 1), (90, 0.1, 3, 1.0, 4, 1.0, 0, 1, 0, 1), (70, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
+    (8, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 1), (2, 0.0, 3, 1.0, 5, 1.0, 0, 1, 0, 1), (14, 0.8, 0, 0.0, 60, 0.0, 0, 1, 0, 1), (10, 0.7, 6, 0.0, 80, 0.0, 0, 1, 0, 1),
+    (22, 0.85, 30, 0.0, 40, 0.0, 0, 1, 0, 1), (6, 0.6, 25, 0.0, 30, 0.0, 0, 1, 0, 1), (30, 0.75, 20, 0.0, 0, 0.0, 0, 1, 0, 1), (8, 0.75, 0, 0.0, 45, 0.0, 0, 1, 0, 1),
+    (11, 0.91, 0, 0.0, 60, 0.0, 0, 1, 0, 1), (21, 0.95, 30, 0.0, 25, 0.0, 0, 1, 0, 1), (16, 0.94, 8, 0.0, 35, 0.0, 0, 1, 0, 1), (30, 0.97, 12, 0.0, 50, 0.0, 0, 1, 0, 1),
     # in an article, but link lists: previous and next, tags, more stories
     (4, 1.0, 60, 0.0, 4, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (9, 1.0, 5, 1.0, 8, 1.0, 0, 1, 0, 0), (3, 1.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0),
-    # in containers that name themselves: menus, adverts, forms, comments, notices, also inside an article
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, -1, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 1, -1, 0, 0),
-    (60, 0.0, 20, 0.0, 45, 0.0, 1, -1, 0, 0), (90, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 0), (8, 0.2, 60, 0.0, 0, 0.0, 1, -1, 0, 0),
-    (25, 0.0, 40, 0.0, 20, 0.0, 1, 1, 0, 0), (5, 0.0, 80, 0.0, 35, 0.0, 1, 1, 1, 0), (40, 0.1, 0, 0.0, 3, 1.0, 1, 0, 0, 0),
-    (70, 0.0, 3, 0.0, 90, 0.0, 1, 0, 0, 0), (4, 0.0, 50, 0.0, 2, 0.0, 1, 0, 1, 0), (150, 0.0, 90, 0.0, 90, 0.0, 1, 0, 0, 0), (200, 0.0, 3, 0.0, 3, 0.0, 1, 1, 0, 0),
+    (1, 1.0, 40, 0.0, 1, 1.0, 0, 1, 0, 0), (12, 1.0, 0, 0.0, 10, 1.0, 0, 1, 0, 0), (5, 1.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0), (7, 1.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0),
+    # in containers that are something else, also inside an article, whatever their words
+    (1, 1.0, 0, 0.0, 1, 1.0, 2, -1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 2, -1, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 2, -1, 0, 0),
+    (60, 0.0, 20, 0.0, 45, 0.0, 2, -1, 0, 0), (90, 0.0, 60, 0.0, 30, 0.0, 2, 1, 0, 0), (8, 0.2, 60, 0.0, 0, 0.0, 2, -1, 0, 0),
+    (25, 0.0, 40, 0.0, 20, 0.0, 2, 1, 0, 0), (5, 0.0, 80, 0.0, 35, 0.0, 2, 1, 1, 0), (40, 0.1, 0, 0.0, 3, 1.0, 2, 0, 0, 0),
+    (70, 0.0, 3, 0.0, 90, 0.0, 2, 0, 0, 0), (4, 0.0, 50, 0.0, 2, 0.0, 2, 0, 1, 0), (150, 0.0, 90, 0.0, 90, 0.0, 2, 0, 0, 0), (200, 0.0, 3, 0.0, 3, 0.0, 2, 1, 0, 0),
+    (30, 0.0, 0, 0.0, 0, 0.0, 2, 0, 0, 0), (12, 0.0, 30, 0.0, 35, 0.0, 2, 0, 0, 0), (16, 0.0, 60, 0.0, 50, 0.0, 2, 1, 0, 0), (45, 0.0, 40, 0.0, 60, 0.0, 2, 0, 0, 0),
+    (2, 0.0, 3, 0.0, 8, 0.0, 2, 1, 0, 0), (9, 0.0, 100, 0.0, 90, 0.0, 2, 1, 0, 0), (35, 0.0, 7, 0.0, 0, 0.0, 2, 1, 0, 0), (100, 0.0, 0, 0.0, 8, 0.0, 2, 1, 0, 0),
+    # in containers with such a word among others in their name: paragraphs and their headings are text
+    (60, 0.0, 6, 0.0, 50, 0.0, 1, 0, 0, 1), (35, 0.05, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (80, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (40, 0.0, 5, 0.0, 70, 0.0, 1, 1, 0, 1),
+    (120, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 1), (25, 0.1, 40, 0.0, 30, 0.0, 1, 1, 0, 1), (6, 0.0, 2, 1.0, 70, 0.0, 1, 0, 1, 1), (5, 0.0, 0, 0.0, 40, 0.0, 1, 1, 1, 1),
+    (14, 0.0, 40, 0.0, 50, 0.0, 1, 1, 0, 1), (18, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (30, 0.0, 1, 1.0, 45, 0.0, 1, 0, 0, 1), (50, 0.0, 4, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (7, 0.0, 45, 0.0, 60, 0.0, 1, 0, 1, 1), (12, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 1), (22, 0.0, 0, 0.0, 55, 0.0, 1, 0, 0, 1), (28, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1),
+    (3, 0.0, 0, 0.0, 60, 0.0, 1, 1, 1, 1), (2, 0.0, 1, 1.0, 80, 0.0, 1, 0, 1, 1), (4, 0.0, 0, 0.0, 35, 0.0, 1, 1, 1, 1), (1, 0.0, 50, 0.0, 70, 0.0, 1, 0, 1, 1), (3, 0.0, 40, 0.0, 50, 0.0, 1, 1, 1, 1), (2, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1),
+    # and their labels, links and lone lines are not
+    (2, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1, 0), (3, 1.0, 2, 0.0, 4, 1.0, 1, 0, 0, 0), (8, 0.9, 5, 1.0, 9, 1.0, 1, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 0.0, 1, 0, 0, 0),
+    (6, 0.0, 8, 0.0, 4, 0.0, 1, -1, 0, 0), (10, 0.5, 3, 1.0, 6, 0.8, 1, 1, 0, 0), (2, 0.0, 80, 0.0, 3, 1.0, 1, 1, 0, 0), (5, 0.0, 4, 0.0, 6, 0.0, 1, 1, 0, 0),
+    (20, 0.7, 12, 0.8, 15, 0.9, 1, 0, 0, 0), (15, 0.0, 3, 0.0, 2, 0.0, 1, -1, 0, 0), (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0), (40, 0.0, 5, 0.0, 6, 0.0, 1, -1, 0, 0),
+    (3, 0.0, 60, 0.0, 5, 1.0, 1, 0, 1, 0), (2, 0.0, 0, 0.0, 4, 0.0, 1, 1, 1, 0), (4, 0.0, 50, 0.0, 6, 0.9, 1, 1, 1, 0),
     # outside of the page's article
     (10, 0.0, 1, 1.0, 8, 0.0, 0, -1, 0, 0), (45, 0.0, 5, 1.0, 7, 0.0, 0, -1, 0, 0), (6, 0.5, 70, 0.0, 4, 0.5, 0, -1, 0, 0),
     (90, 0.0, 4, 0.0, 30, 0.0, 0, -1, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, -1, 1, 0), (20, 0.0, 120, 0.0, 0, 0.0, 0, -1, 0, 0),
+    (14, 0.0, 40, 0.0, 60, 0.0, 0, -1, 0, 0), (60, 0.0, 50, 0.0, 70, 0.0, 0, -1, 0, 0), (30, 0.0, 0, 0.0, 0, 0.0, 0, -1, 0, 0),
     # pages without an article element: text by its length and its neighbours
     (60, 0.0, 8, 0.0, 80, 0.0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1),
     (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 45, 0.0, 70, 0.0, 0, 0, 1, 1), (6, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1),
     (200, 0.0, 1, 1.0, 4, 1.0, 0, 0, 0, 1), (22, 0.0, 30, 0.0, 5, 1.0, 0, 0, 0, 1), (14, 0.0, 25, 0.0, 3, 0.0, 0, 0, 0, 1), (9, 0.1, 30, 0.0, 35, 0.1, 0, 0, 0, 1),
     (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (4, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 1),
+    (50, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (30, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1), (16, 0.7, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (25, 0.2, 1, 1.0, 0, 0.0, 0, 0, 0, 1),
     # and what surrounds it there
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
     (6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (20, 0.9, 5, 1.0, 8, 1.0, 0, 0, 0, 0),
@@ -269,7 +314,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Node:
     """A classification tree by Gini impurity; ties go to the first column and the lowest cut."""
     node = Node(bool(y.mean() >= 0.5))
     if depth == 0 or len(set(y.tolist())) < 2:
@@ -306,7 +351,7 @@ def main_text(page: str | None, tree: Node) -> str:
     if not blocks:
         return ""
     chosen = [b.text for b, r in zip(blocks, block_features(blocks).tolist(), strict=True) if classify(tree, r)]
-    if not chosen and any(b.boiler and not b.hard for b in blocks):
+    if not chosen and any(b.boiler > b.hard for b in blocks):
         # all text stands in wrappers that are named after their layout: judge it without those names
         for b in blocks:
             b.boiler = b.hard

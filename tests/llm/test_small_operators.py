@@ -218,3 +218,58 @@ def test_a_large_benchmark_in_slices_gives_the_same(spark):
     for least in (1, 3):
         left = [sorted(map(tuple, D.decontaminate(documents, benchmark, min_items=least, slice_chars=size).collect()), key=str) for size in (10**6, 100)]
         assert left[0] == left[1]
+
+
+LONG = "This is a long paragraph of running text that says a number of things about a subject which a reader would want to have whole and without any loss, so it goes on for some sixty words or so, and then on for a little more, until at last it comes to a full stop near the very end of the line."
+MORE = "A second paragraph follows here with some more words of text, enough to be called running text by anyone who reads it at all."
+PROBES = [
+    (f"<article><p><a href='x'>Read the whole of the earlier story of last week</a> here</p><p>{LONG}</p></article>", ["Read the whole of the earlier story of last week here", LONG]),
+    (f"<main class='popular-science'><h1>Title of it</h1><p>{LONG}</p><p>{MORE}</p></main>", ["Title of it", LONG, MORE]),
+    (f"<article class='warning-signs'><p>{LONG}</p><p>{MORE}</p></article>", [LONG, MORE]),
+    (f"<body><div class='review-content'><p>{LONG}</p><p>{MORE}</p></div></body>", [LONG, MORE]),
+    (f"<body><div id='legal-history'><h2>Of old</h2><p>{LONG}</p><p>{MORE}</p></div></body>", ["Of old", LONG, MORE]),
+    (f"<!--><p>{LONG}</p><!---><p>{MORE}</p><!-- x --!><p>{LONG}</p>", [LONG, MORE, LONG]),
+    (f"<div><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p></div><article><a href='y'>Another story</a><p>Short teaser of it.</p></article>", [LONG, MORE, LONG]),
+    (f"<article><p>{LONG}</p><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, says the text.</p></article>", [LONG, "Where x=1 holds, says the text."]),
+    (f"<article><p>{LONG}</p></article><div class='comment-list'><div class='comment-body'><p>{LONG}</p></div></div>", [LONG]),
+    (f"<div class='post'><p>{LONG}</p><p>{MORE}</p></div><div id='comments'><div class='comment'><p>{LONG}</p></div></div>", [LONG, MORE]),
+    (f"<div class='cookie-banner'><p>{MORE}</p></div><div class=content><p>{LONG}</p></div><div class='sidebar-left'><p>{MORE}</p></div><div class='related-posts'><p>{MORE}</p></div><footer><p>{MORE}</p></footer>", [LONG]),
+    (f"<article><p>{LONG}</p><form><p>{MORE}</p></form><div class='ad'><p>{MORE}</p></div><p>{MORE}</p></article>", [LONG, MORE]),
+    (f"<ul class=menu><li><a>a</a><li><a>b</a></ul><h1>Head</h1><p>{LONG}</p><p>ok then.</p><p>{MORE}</p><div class='share-buttons'><a>x</a></div>", ["Head", LONG, "ok then.", MORE]),
+    (f"<div class='notice'><p>{MORE}</p></div><main><p>{LONG}</p></main><div role=alert>{MORE}</div>", [LONG]),
+]
+
+
+def test_pages_come_out_whole():
+    tree = H.default_tree()
+    for page, want in PROBES:
+        assert H.main_text(page, tree).split("\n\n") == want
+
+
+def test_the_tree_uses_words_and_links():
+    used, todo = set(), [H.default_tree()]
+    while todo:
+        node = todo.pop()
+        if node.column >= 0:
+            used.add(H.COLUMNS[node.column])
+            todo += [node.low, node.high]
+    assert {"words", "links", "article", "boiler"} <= used and used & set(H.COLUMNS[2:6])  # and those of neighbours
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["nav", "ad", "aside", "comments", "script", "p", "p", "p", "h2", "li", "form", "style"]), max_size=14), st.integers(0, 10**6))
+def test_against_a_page_written_from_its_parts(kinds, seed):
+    """Pages put together from marked parts: exactly the article's parts come out."""
+    rng = random.Random(seed)
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    wrap = {"nav": "<nav><ul><li><a href='/'>{}</a></li></ul></nav>", "ad": "<div class='ad'>{}</div>", "aside": "<aside><p>{}</p></aside>", "comments": "<section id=comments><p>{}</p></section>", "script": "<script>{}</script>", "style": "<style>{}</style>", "form": "<form><label>{}</label></form>"}
+    inside, want = "", []
+    for kind in kinds:
+        text = w(rng.randint(1, 60))
+        if kind in wrap:
+            inside += wrap[kind].format(text)
+        else:
+            inside += f"<{kind}>{text}</{kind}>"
+            want.append(text)
+    page = f"<html><head><title>{w(3)}</title></head><body><header>{w(5)}</header><nav><a>{w(2)}</a></nav><article>{inside}</article><footer>{w(20)}</footer></body></html>"
+    assert H.main_text(page, H.default_tree()) == "\n\n".join(want)
