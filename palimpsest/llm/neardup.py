@@ -13,8 +13,8 @@
    clusters.
 4. Each member of a cluster is compared in full with the cluster's least member: whether
    they are linked, and a bitmap of the shingles of the least member that it has.
-5. Buckets whose members are not all linked to the same one are then compared
-   exhaustively, in square blocks of bounded size: by the estimate, and by an exact bound,
+5. Buckets whose members are not all linked to the same one are then compared in blocks of
+   bounded size: those outside of the bucket's commonest label with all members. By the estimate, and by an exact bound,
    as two sets share no more than the common bits of their bitmaps and the shingles that
    are in no bitmap and not in one document alone. No pair is emitted unless it passes
    both; the few that do are confirmed on their full sets, built again from the texts.
@@ -232,6 +232,18 @@ def _compared(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
     return out
 
 
+def _looked_up(table: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """A table of at most 2 * n keys for a join by key, and what to drop after it.
+
+    While it is small it goes to every executor. Else it is written first, so that the join
+    stands on two plain exchanges, of which adaptive execution splits a hot key's rows.
+    """
+    if 2 * n <= BROADCAST_IDS:
+        return F.broadcast(table), None
+    written = stash(table, "least")
+    return written, written
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node it reaches.
 
@@ -239,23 +251,24 @@ def components(links: DataFrame) -> DataFrame:
     is an aggregate and a join by node, and a node's links are never collected.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    before = None
+    check = [F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)]
+    before, n = None, edges.count()
     while True:
         # large star: hang every larger neighbour on the least one
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        least, drop = _looked_up(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), n)
         large = edges.join(least, F.col("v") == F.col("c")).select("u", F.col("m").alias("v")).filter("u != v").distinct()
         # small star: hang the smaller neighbours and the node itself on the least
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low, drop_low = _looked_up(large.groupBy("u").agg(F.min("v").alias("m")), n)
         hung = large.join(low, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         new = stash(small, "edges")
-        drop_stash(edges)
+        drop_stash(edges, drop, drop_low)
         edges = new
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+        now = tuple(edges.agg(*check).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -282,15 +295,22 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame, docum
     the others, those in the head's set are told by the bitmaps.
     """
     rows = members.join(labels.select("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
+    mixed = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = mixed.agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("m")).filter("m > n_top")
+    mixed = stash(mixed.select("key", "top", F.ceil((F.col("m") - F.col("n_top")) / F.lit(block)).cast("int").alias("others"), F.ceil(F.col("n_top") / F.lit(block)).cast("int").alias("tops")), "mixed")
     rows = stash(rows.join(mixed, "key"), "mixed")
+    drop_stash(mixed)
     here = rows.select("rep").distinct()
     heads = labels.join(here, "rep", "left_semi").select(F.col("head").alias("rep"))
     own = _own_shingles(documents, here.union(heads).distinct(), shingle)
     facts = reps.join(here, "rep", "left_semi").join(own, "rep", "left").join(labels.select("rep", "head", "bits"), "rep", "left")
     facts = facts.select("rep", "sig", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("head", F.lit(-1)).alias("head"), F.coalesce("bits", F.lit(b"")).alias("bits"))
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    rows = rows.join(facts, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # the rows of the commonest label need not meet each other, only the other rows' blocks
+    top, others, tops = F.col("label") == F.col("top"), F.col("others"), F.col("tops")
+    spread = F.xxhash64("rep")
+    mine = F.when(top, others + F.pmod(spread, tops)).otherwise(F.pmod(spread, others)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(top, others).otherwise(others + tops) - 1)
+    rows = rows.join(facts, "rep").withColumn("mine", mine).withColumn("other", F.explode(meets))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "label", "rep", "n_shingles", "own", "head", "sig", "bits")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
@@ -407,8 +427,10 @@ def near_duplicates(
     reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").filter("n_shingles > 0")
     reps = stash(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
+    # written first: the join then has two plain exchanges, of which a hot key's rows can be split
+    shared = stash(buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot"), "shared")
     members = stash(buckets.join(shared, "key").select("key", "rep", "pivot"), "members")
+    drop_stash(shared)
     stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     close = stash(_passing(stars, reps, limit), "close")
     clusters = components(close).withColumnRenamed("node", "rep")
