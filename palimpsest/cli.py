@@ -146,12 +146,21 @@ def _nothing(a, listing: files.Listing, tree: Tree, manifest: staging.Manifest)
     if a.promote or a.promote_to:
         try:
             target = staging.promote_target(a.promote or a.promote_to, tree.root)
+            good, bad = staging.verified_files(tree.clean, manifest)
+            if bad or not good:
+                return _fail(f"{len(bad)} staged files have no valid checksum" if bad else "nothing is staged")
+            if a.dry_run:
+                print(f"promote=dry-run staging={len(good)} verified={len(good)} (would copy, then clear staging)")
+                return 0
             staging.promote(tree.clean, target, manifest, a.replace_target, all_verified=True)
         except ValueError as e:
             return _fail(str(e))
         manifest.record([target])
-        staging.clear(tree.clean)
         manifest.drop_clean()
+        if a.keep_clean:
+            print(f"promoted={len(good)} verified={len(good)} keep_clean=1")
+        else:
+            print(f"deleted_clean={staging.clear(tree.clean)} promoted={len(good)} verified={len(good)}")
         return 0
     if listing.skipped_export and not listing.skipped_binary:
         return _fail("all paths lie in export folders")
@@ -195,8 +204,8 @@ def _run(a, spark, tree: Tree, keys: KeyStore, map_path: Path, manifest: staging
         pii_map = allocate.prune(run.pii_map, run.hits) if a.map_prune_unused else run.pii_map
         if not a.irreversible:
             try:
-                if map_status == "plaintext" and not mapstore.backup_of(map_path).exists():
-                    mapstore.backup_of(map_path).write_bytes(map_path.read_bytes())
+                if map_status == "plaintext":
+                    mapstore.keep_old_form(map_path)
                 mapstore.save_payload(map_path, mapstore.table_to_payload(pii_map), keys)
             except MapError as e:
                 return _fail(str(e))
@@ -220,7 +229,12 @@ def _run(a, spark, tree: Tree, keys: KeyStore, map_path: Path, manifest: staging
         if not a.keep_raw and not a.in_place:
             for i, p in sources.items():
                 if tree.within(p, tree.raw) and p.resolve() != dests[i].resolve():
-                    p.unlink(missing_ok=True)
+                    try:
+                        p.unlink(missing_ok=True)
+                        facts["deleted_raw"] = facts.get("deleted_raw", 0) + 1
+                    except OSError as e:  # what is written stays good; the file is told and counted
+                        facts["delete_raw_failures"] = facts.get("delete_raw_failures", 0) + 1
+                        print(f"warning: {p.name} was not deleted: {e.strerror}", file=sys.stderr)
         if manage and (a.promote or a.promote_to):
             staging.clear(tree.clean)
             manifest.drop_clean()

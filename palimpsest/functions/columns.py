@@ -99,7 +99,8 @@ def looks_technical(text: Column) -> Column:
 
 # --- detectors: arrays in order of appearance ------------------------------------------------
 def emails(text: Column) -> Column:
-    return find_all(text, X.EMAIL, flags="i")
+    # without a sign the pattern would be tried at every place
+    return F.when(text.contains("@"), find_all(text, X.EMAIL, flags="i")).otherwise(F.array().cast("array<string>"))
 
 
 def residual_emails(text: Column, allow: list[str] | None = None) -> Column:

@@ -99,3 +99,12 @@ SYSEVENT_PARM = r"<(parm[12])\b[^>]*>([^<]*)</\1\s*>"
 DENIED_GLOBS = [".env", ".env.*", ".local/pii-map*", "*.key", "**/pii-map.json", "**/pii-map.json.bak"]
 QUARANTINE = ["inbox/raw/", "inbox/instance-upload/", "inbox/clean/"]
 STORIES = "src/stories/"
+
+# --- fixed values: markup, and where names stand; % is the list of labels, tags or keys ---------
+BREAKS = r"<br\s*/?>|</?p>|<li[^>]*>"
+TAGS_BOLD = r"<[^>]+>|\*\*"
+BULLET = r"^[-*•]+\s*"
+LABEL_LINE = r"^\s*(?:%)(?:\s*\([^)]*\))?\s*:?\s*$"
+XML_DISPLAY = r"<(?:%)\b[^>]*\bdisplay_value=(['\"])(.*?)\1"
+JSON_DISPLAY = r'"(?:%)"\s*:\s*\{[^{}]*?"display_value"\s*:\s*"([^"]+)"'
+SERVICE_USERS = ["guest", "system"]

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from . import textops as t
 
+_WORD = re.compile(r"\w+")
+
 Give = Callable[[int, str, str], str]
 Log = Callable[[int, str, str, str], None]
 
@@ -104,6 +107,42 @@ def account_passes(text: str, allow: frozenset[str], give: Give, log: Log) -> st
     return t.SYSEVENT.sub(event, text) if "event" in low else text
 
 
+@lru_cache(65_536)
+def _fold_letter(letter: str) -> str:
+    upper = letter.upper()
+    return (upper if len(upper) == 1 else letter).lower()[0]
+
+
+def fold(word: str) -> str:
+    """One form for all spellings of a word that case-insensitive matching takes as equal."""
+    return word.lower() if word.isascii() else "".join(map(_fold_letter, word))
+
+
+def first_word(key: str) -> str | None:
+    """The folded first word of a dictionary key: wherever the key occurs, this word does."""
+    m = _WORD.search(key)
+    return fold(m[0]) if m else None
+
+
+def words_of(text: str) -> set[str]:
+    """The folded words of a text."""
+    return set(map(fold, set(_WORD.findall(text))))
+
+
+class Dictionary:
+    """Dictionary entries (kind, key, token, file_ord, ...) in their order, found by their first word."""
+
+    def __init__(self, entries: list[tuple]) -> None:
+        self.entries, self.by_word = entries, {}
+        for n, e in enumerate(entries):
+            self.by_word.setdefault(first_word(e[1]), []).append(n)
+
+    def near(self, text: str, upto: int | None = None) -> list[tuple[str, str, str]]:
+        """The entries that may occur in a text, of those first seen in documents up to ``upto``."""
+        found = [n for w in (None, *words_of(text)) for n in self.by_word.get(w, ())]
+        return [self.entries[n][:3] for n in sorted(found) if upto is None or self.entries[n][3] <= upto]
+
+
 def dictionary_passes(text: str, entries: list[tuple[str, str, str]], allow: frozenset[str], log: Log) -> str:
     """Mapped names, organisations and user names as whole words, longest first.
 

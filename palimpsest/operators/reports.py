@@ -43,8 +43,14 @@ def per_file_summary(hits: DataFrame, residuals: DataFrame, files: DataFrame | N
     return out.orderBy(F.desc("hits"), "file_ord")
 
 
-def word_count(text: Column, word: str) -> Column:
-    return F.regexp_count(text, F.lit(rx(rf"\b{word}\b", "i")))
+def probe_words(text: Column) -> Column:
+    """The probes among a text's words, each as often as it occurs."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(rx(r"\w+")), F.lit(0))
+    return F.filter(words, lambda w: w.isin(X.PROBES))
+
+
+def word_count(words: Column, word: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == word))
 
 
 def prose_damage(hits: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -60,6 +66,8 @@ def prose_damage(hits: DataFrame, documents: DataFrame | None = None) -> DataFra
         out = out.withColumn("stopword_loss", F.lit(0).cast("long"))
     else:
         changed = documents.filter((F.col("original") != "") & (F.col("original") != F.col("text")))
+        # each text is cut into words once; only the probes among them are counted
+        changed = changed.select(probe_words(F.col("original")).alias("original"), probe_words(F.col("text")).alias("text")).filter("size(original) > 0")
         lost = F.lit(0)
         for w in X.PROBES:
             lost = lost + F.greatest(F.lit(0), word_count(F.col("original"), w) - word_count(F.col("text"), w))

@@ -110,6 +110,16 @@ def _with_tokens(df: DataFrame, found: DataFrame, pii_map: DataFrame) -> DataFra
     return some.unionByName(none)
 
 
+_kept: list[tuple[list, P.Dictionary]] = []
+
+
+def _dictionary(entries: list[tuple]) -> P.Dictionary:
+    """A broadcast list by first words; the worker keeps the one that it used last, with its list."""
+    if not _kept or _kept[0][0] is not entries:
+        _kept[:] = [(entries, P.Dictionary(entries))]
+    return _kept[0][1]
+
+
 def _with_dictionary(df: DataFrame, entries: DataFrame, options: Options):
     """The dictionary as a broadcast list, or as a column of each document's candidates."""
     rows = entries.select("kind", "key", "token", "file_ord", "pass", "pos")
@@ -118,10 +128,13 @@ def _with_dictionary(df: DataFrame, entries: DataFrame, options: Options):
         # longest first, then first seen: documents need not sort it again
         found = sorted((tuple(r) for r in rows.collect()), key=lambda r: (-len(r[1]), r[3], r[4], r[5], r[1]))
         return df.withColumn("entries", F.lit(None).cast("array<struct<kind:string,key:string,token:string,file_ord:bigint,pass:int,pos:bigint>>")), df.sparkSession.sparkContext.broadcast(found)
-    # a key can only occur where its first word does
-    anchor = F.lower(F.regexp_extract("key", r"(?U)\w+", 0))
-    keyed = rows.withColumn("word", anchor)
-    words = df.select(F.col("file_ord").alias("doc"), F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))).alias("word"))
+    # the same rule as in a broadcast dictionary: a key can only occur where its first word does
+    shape = "file_ord long, key string, words array<string>"
+    types = [pa.int64(), pa.string(), pa.list_(pa.string())]
+    words = _each(df.select("file_ord", "text"), "doc long, words array<string>", types[::2], lambda r: (r["file_ord"], [*P.words_of(r["text"]), ""]))
+    words = words.select("doc", F.explode("words").alias("word"))
+    keyed = _each(rows.select("file_ord", "key").distinct(), shape, types, lambda r: (r["file_ord"], r["key"], [P.first_word(r["key"]) or ""]))
+    keyed = rows.join(keyed.select("key", "file_ord", F.col("words")[0].alias("word")), ["key", "file_ord"])
     visible = F.lit(True) if options.visibility == "global" else F.col("file_ord") <= F.col("doc")
     entry = F.struct("kind", "key", "token", "file_ord", "pass", "pos")
     near = words.join(keyed, "word").filter(visible).groupBy("doc").agg(F.collect_list(entry).alias("entries"))
@@ -192,7 +205,7 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
         text = P.address_passes(r["text"], allow, tokens.give, hits.log)
         text = P.account_passes(text, allow, tokens.give, hits.log)
         if shared is not None:
-            entries = [e[:3] for e in shared.value if options.visibility == "global" or e[3] <= r["file_ord"]]
+            entries = _dictionary(shared.value).near(r["text"], None if options.visibility == "global" else r["file_ord"])
         else:
             own = sorted(r["entries"] or [], key=lambda e: (-len(e["key"]), e["file_ord"], e["pass"], e["pos"], e["key"]))
             entries = [(e["kind"], e["key"], e["token"]) for e in own]

@@ -17,6 +17,7 @@ from ..operators import allocate as A
 from ..operators import reports as R
 from ..operators.options import Options
 from ..sources import commit_gate, files, staging
+from .cut import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,7 +95,7 @@ select key, cast(n as integer) as n, case when key like 'uhmaskedaddr\\_%' escap
 def _email_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents' addresses, and the map that they give."""
     rows = found(table(spark, sf_dir, "documents"), "doc_id", C.residual_emails(F.col("text")))
-    rows = rows.select(F.col("doc_id").alias("file_ord"), F.lit(2).alias("pass"), "pos", F.lit("email").alias("kind"), F.lower("value").alias("key"), "value")
+    rows = cut(rows.select(F.col("doc_id").alias("file_ord"), F.lit(2).alias("pass"), "pos", F.lit("email").alias("kind"), F.lower("value").alias("key"), "value"))  # found once, read twice
     return rows, A.allocate(rows, A.empty_map(spark))
 
 
@@ -114,7 +115,8 @@ def email_scrub(spark, sf_dir):
     rows, pii_map = _email_map(spark, sf_dir)
     tokens = rows.join(pii_map.select("key", "token"), "key").groupBy(F.col("file_ord").alias("doc_id"))
     tokens = tokens.agg(F.count("*").alias("hits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), ",").alias("tokens"))
-    rest = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), C.rx(X.EMAIL, "i"), "")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    rest = F.length(F.when(text.contains("@"), F.regexp_replace(text, C.rx(X.EMAIL, "i"), "")).otherwise(text)).cast("long")
     return docs.join(tokens, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("tokens", F.lit("")).alias("tokens"), rest.alias("rest_chars"))
 
 
@@ -340,25 +342,17 @@ def residual_counts(spark, sf_dir):
     return R.residual_counts(rows).crossJoin(R.severity(rows))
 
 
+#: Words as the engine cuts them: letters, marks, digits and joining punctuation of any script.
+WORDS_SQL = r"regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+')"
+
+
 @query(f"""
 with h as ({HITS_SQL}), n as (select * from h where kind in ('name', 'org', 'username')),
-d as (select text as a, regexp_replace(text, '\\bthe\\b', 'PERSON_001', 'gi') as b from documents where text ~ '^[\\x00-\\x7f]*$' and text <> ''),
-l as (select sum(len(regexp_extract_all(a, '(?i)\\bthe\\b'))) as n from d where a <> b)
+l as (select sum(len(list_filter({WORDS_SQL}, lambda w: lower(w) = 'the'))) as n from documents)
 select (select count(*) from n where original = 'test')::bigint as stopword_name_hits, (select count(*) from n where original = 'Sam')::bigint as short_name_hits, coalesce((select n from l), 0)::bigint as stopword_loss,
 ((select count(*) from n where original in ('test', 'Sam')) + coalesce((select n from l), 0))::bigint as total""")
 def prose_damage(spark, sf_dir):
-    """A run that rewrote every 'the' of the ASCII documents."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*\z") & (F.col("text") != ""))
-    docs = docs.select(F.col("text").alias("original"), F.regexp_replace("text", r"(?i)\bthe\b", "PERSON_001").alias("text"))
-    return R.prose_damage(_hits(spark, sf_dir), docs)
-
-
-@query()
-def prose_damage_documents(spark, sf_dir):
-    """A run that rewrote every 'the' of all documents, whatever their letters.
-
-    DuckDB knows ASCII word bounds only, hence no SQL: ``prose_damage`` is its ASCII part.
-    """
+    """A run that rewrote every 'the' of all documents, whatever their letters."""
     docs = table(spark, sf_dir, "documents")
     docs = docs.select(F.col("text").alias("original"), F.regexp_replace("text", C.rx(r"\bthe\b", "i"), "PERSON_001").alias("text"))
     return R.prose_damage(_hits(spark, sf_dir), docs)
@@ -370,16 +364,8 @@ def map_poison(spark, sf_dir):
     return A.poison_count(spark.createDataFrame([("person", k, "PERSON_001", 1, -1, 0, i) for i, k in enumerate(keys)] + [("email", "a@b", "x", 1, -1, 0, 9)], A.MAP_SCHEMA))
 
 
-@query(f"with h as ({HITS_SQL}) select distinct lower('Clerk#' || (o_custkey % 1000)) as key from orders where o_orderkey % 97 = 0 and 'Clerk#' || (o_custkey % 1000) in (select replacement from h where file_ord = 7)")
-def map_prune(spark, sf_dir):
-    """Entries whose token was not used go."""
-    clerks = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(_clerk().alias("clerk")).distinct()
-    pii_map = clerks.select(F.lit("username").alias("kind"), F.lower("clerk").alias("key"), F.col("clerk").alias("token"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("file_ord"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("pos"))
-    return A.prune(pii_map, _hits(spark, sf_dir).filter("file_ord = 7")).select("key")
-
-
 @query(f"with h as ({HITS_SQL}) select distinct lower(replacement) as key from h where file_ord = 7")
-def map_prune_orders(spark, sf_dir):
+def map_prune(spark, sf_dir):
     """The map of all orders' clerks, pruned by what one file used."""
     clerks = table(spark, sf_dir, "orders").select(_clerk().alias("clerk")).distinct()
     pii_map = clerks.select(F.lit("username").alias("kind"), F.lower("clerk").alias("key"), F.col("clerk").alias("token"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("file_ord"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("pos"))
@@ -421,6 +407,16 @@ def denied_paths(spark, sf_dir):
     return df.select("path", commit_gate.denied(F.col("path")).alias("denied"), commit_gate.is_story(F.col("path")).alias("story"))
 
 
+STAGED = ["src/stories/S/a.md", "src/stories/S/a.bin", "src/stories/S/b", "src/stories/S/x.PDF", "src/stories/S/source-export/a.md", "src/stories/S/t.docx", "docs/a.md", "src/stories/S/sheet.xlsx"]
+
+
+@query(f"select v as path, starts_with(v, 'src/stories/') and not regexp_matches(v, '/source[-_]export/') and not regexp_matches(lower(v), '\\.(xlsx|xls|pdf)$') as scanned from {_values(STAGED)}")
+def gate_scanned(spark, sf_dir):
+    """Which staged paths the commit gate reads."""
+    df = spark.createDataFrame([(p,) for p in STAGED], "path string")
+    return df.select("path", commit_gate.scanned(F.col("path")).alias("scanned"))
+
+
 def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, sf_dir, "part")
     staged = parts.select(F.concat(F.lit("inbox/clean/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("rel_path"), F.sha2("p_name", 256).alias("sha256"), "p_partkey")
@@ -504,6 +500,36 @@ scrubbed("csv_scrub", f"concat('naam,email\n', {PERSON}, ',u', cast(n_nationkey
 scrubbed("technical_scrub", "concat('host: srv', cast(n_nationkey as string), '\nsee /tmp/f', cast(n_nationkey as string), ' of 10.1.2.', cast(n_nationkey as string), '\ngit log ', cast(n_nationkey as string))", f"concat('host: MACHINE_', {NUMBER}, '\nsee PATH_', {NUMBER}, ' of 203.0.113.', cast(n_nationkey + 2 as string), '\nCMD_', {NUMBER})", *TECHNICAL, ip=True, machines=True, paths=True, commands=True)
 scrubbed("value_scrub", "concat('mac 00:1B:44:11:3A:', lpad(cast(n_nationkey as string), 2, '0'), ' tel +31 6 123456', lpad(cast(n_nationkey as string), 2, '0'), ' dob: 2001-02-03')", f"concat('mac 00:00:5e:00:53:', printf('%02x', n_nationkey + 1), ' tel PHONE_', {NUMBER}, ' dob: 1900-01-02')", *VALUES)
 
+#: A valid account number of a customer or nation, written as bytes that both checks know.
+K10 = "lpad(cast(n_nationkey as string), 10, '0')"
+ACCOUNT = f"concat('NL', lpad(cast(98 - cast(concat('10112310', {K10}, '232100') as decimal(38,0)) % 97 as string), 2, '0'), 'ABNA', {K10})"
+scrubbed("json_user_scrub", "concat('{{\"sys_updated_by\": \"User', cast(n_nationkey as string), '\"}} by user', cast(n_nationkey as string))".replace("{{", "{").replace("}}", "}"), f"concat('{{\"sys_updated_by\": \"username_', {NUMBER}, '\"}} by username_', {NUMBER})")
+scrubbed("ipv6_scrub", "concat('at fe80::', lower(hex(n_nationkey + 1)), ' and ::1 or 2001:db8::5 end')", "concat('at 2001:db8::', printf('%x', n_nationkey + 1), ' and ::1 or 2001:db8::5 end')", "concat('at fe80::', lower(hex(c_custkey)), ' and ::1 or 2001:db8::5 end')", "concat('at 2001:db8::', printf('%x', n), ' and ::1 or 2001:db8::5 end')", ip=True)
+scrubbed("iban_scrub", f"concat('pay ', {ACCOUNT}, ' now')", f"concat('pay IBAN_', {NUMBER}, ' now')")
+scrubbed("cert_scrub", "concat('a\n-----BEGIN KEY-----\nk', cast(n_nationkey as string), '\n-----END KEY-----\nb')", f"concat('a\nCERT_', {NUMBER}, 'b')", certificates=True)
+scrubbed("postcode_scrub", "concat('Kerkstraat ', cast(n_nationkey + 1 as string), ', 1234 AB end')", f"concat('9999 XX', printf('%02d', n_nationkey + 1), ' end')", "concat('Kerkstraat ', cast(c_custkey as string), ', 1234 AB end')", "concat('9999 XX', printf('%02d', n), ' end')")
+scrubbed("bsn_scrub", "concat('bsn: 111222333 of ', cast(n_nationkey as string))", "concat('bsn: 000000001 of ', cast(n_nationkey as string))", nl_id=True)
+
+
+def dictionary_paths(name: str, broadcast_entries: int) -> None:
+    """The dictionary over accented, decomposed and odd-cased names, by either way to the documents."""
+
+    def run(spark, sf_dir):
+        from ..operators.scrub import scrub
+
+        text = "concat('<sys_created_by>jos\u00e9', cast(c_custkey as string), '</sys_created_by> JOS\u00c9', cast(c_custkey as string), ', ka\u017fper and KASPER, \u212aasper, jose\u0301, jose; <sys_updated_by>kasper</sys_updated_by> <sys_updated_by>jose</sys_updated_by>')"
+        docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_ord"), F.expr(text).alias("text"))
+        return scrub(docs, None, Options(broadcast_entries=broadcast_entries, harvest_names=False)).documents.select("file_ord", "text")
+
+    run.__name__ = name
+    first = "case when n = 1 then 1 else n + 2 end"
+    want = f"""concat('<sys_created_by>username_', printf('%03d', {first}), '</sys_created_by> username_', printf('%03d', {first}), ', username_002 and username_002, username_002, username_003\u0301, username_003; <sys_updated_by>username_002</sys_updated_by> <sys_updated_by>username_003</sys_updated_by>')"""
+    query(f"select cast(c_custkey as bigint) as file_ord, {want} as text from (select c_custkey, row_number() over (order by c_custkey) as n from customer)")(run)
+
+
+dictionary_paths("dictionary_broadcast", 1_000_000)
+dictionary_paths("dictionary_joined", 0)
+
 
 @query()
 def irreversible_scrub(spark, sf_dir):

@@ -1,10 +1,17 @@
-"""The gate in front of a commit: refused paths, then a detect-only run over the index."""
+"""The gate in front of a commit: refused paths, then a detect-only run over the index.
+
+``python -m palimpsest.sources.commit_gate --root TREE`` runs it with the tree's allowlist,
+organisations, person fields and map, as a detect-only run of the command line does.
+"""
 
 from __future__ import annotations
 
+import argparse
 import fnmatch
+import json
 import re
 import subprocess
+import sys
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,23 +76,60 @@ def hooks_warning(root: Path, wanted: str = ".githooks") -> str | None:
     return None if got.replace("\\", "/").rstrip("/").endswith(wanted) else f"core.hooksPath is {got or 'unset'}, not {wanted}: the gate does not run on commit"
 
 
-def gate(spark: SparkSession, root: Path, options: Options = Options()) -> tuple[int, dict]:
+def scanned(path: Column) -> Column:
+    """Whether a staged path is scanned: a story's file of any suffix but the binary ones, as files named by hand are."""
+    from .files import suffix_of
+
+    return is_story(path) & ~suffix_of(path).isin(X.BINARY_SUFFIXES)
+
+
+def _empty(path: Path) -> bool:
+    """Whether a staged placeholder holds nothing; one that is gone from the tree holds nothing."""
+    return not path.is_file() or not path.read_bytes().strip()
+
+
+def gate(spark: SparkSession, root: Path, options: Options = Options(), pii_map: DataFrame | None = None) -> tuple[int, dict]:
     """Exit code and summary: 1 for refused paths or findings, 2 if git fails, else 0."""
     from ..operators.reports import gate_summary
     from ..operators.scrub import scrub
 
     try:
         paths = staged_paths(root)
-        empty = {p for p in paths if PurePosixPath(p).name == ".gitkeep" and not (root / p).read_bytes().strip()} if paths else set()
+        empty = {p for p in paths if PurePosixPath(p).name == ".gitkeep" and _empty(root / p)}
         if bad := denied_paths(paths, empty):
             return 1, {"denied": bad}
         stories = [p for p in paths if p.startswith(X.STORIES) and not any(d in PurePosixPath(p).parts for d in X.EXPORT_DIRS)]
-        stories = [p for p in stories if not PurePosixPath(p).suffix or PurePosixPath(p).suffix.lower() in X.TEXT_SUFFIXES]
+        stories = [p for p in stories if PurePosixPath(p).suffix.lower() not in X.BINARY_SUFFIXES]
         if not stories:
             return 0, {"files": 0}
         docs = read_index(spark, root, stories)
     except (OSError, subprocess.CalledProcessError) as e:
         return 2, {"error": re.sub(r"\s+", " ", str(e))}
-    run = scrub(docs, None, options)
+    run = scrub(docs, pii_map, options)
     summary = {"mode": "gate", "files": len(stories), **gate_summary(run.hits, run.residuals)}
     return int(summary["hits"] > 0 or summary["high_confidence"] > 0), summary
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """The gate over a tree's index, with the tree's own settings; its summary is printed."""
+    from .. import cli
+    from . import mapstore
+
+    p = argparse.ArgumentParser(prog="palimpsest-gate", description=__doc__)
+    p.add_argument("--root", default=".")
+    root = Path(p.parse_args(argv).root).resolve()
+    if hint := hooks_warning(root):
+        print(f"warning: {hint}", file=sys.stderr)
+    a = cli.parser().parse_args([])
+    spark = spark or SparkSession.builder.appName("palimpsest-gate").getOrCreate()
+    try:
+        payload = mapstore.load_payload(root / a.map, mapstore.KeyStore(root))[0]
+    except mapstore.MapError:
+        payload = {}  # a detect-only run goes on without the map
+    code, summary = gate(spark, root, cli.options_of(a, spark, root), mapstore.payload_to_table(spark, payload))
+    print(json.dumps(summary, indent=2))
+    return code
+
+
+if __name__ == "__main__":
+    sys.exit(main())

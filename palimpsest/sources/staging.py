@@ -122,22 +122,28 @@ def promote_target(spec: str, root: Path) -> Path:
     return target
 
 
+def verified_files(clean: Path, manifest: Manifest) -> tuple[list[Path], list[Path]]:
+    """Staged files whose checksum the manifest has, and the others."""
+    known, split = manifest.read(), ([], [])
+    for f in staged_files(clean):
+        split[known.get(manifest.key(f) or "") != hashlib.sha256(f.read_bytes()).hexdigest()].append(f)
+    return split
+
+
 def promote(clean: Path, target: Path, manifest: Manifest, replace: bool = False, all_verified: bool = False) -> tuple[int, int]:
     """Copy verified staged files; returns how many were copied and how many passed over."""
-    files = staged_files(clean)
-    if not files:
+    good, bad = verified_files(clean, manifest)
+    if not good and not bad:
         raise ValueError("nothing is staged")
-    known = manifest.read()
-    good = [f for f in files if known.get(manifest.key(f) or "") == hashlib.sha256(f.read_bytes()).hexdigest()]
-    if not good or all_verified and len(good) < len(files):
-        raise ValueError(f"{len(files) - len(good)} staged files have no valid checksum")
+    if not good or all_verified and bad:
+        raise ValueError(f"{len(bad)} staged files have no valid checksum")
     if replace and target.exists():
         shutil.rmtree(target)
     for f in good:
         dest = target / f.relative_to(clean)
         dest.parent.mkdir(parents=True, exist_ok=True)
         shutil.copy2(f, dest)
-    return len(good), len(files) - len(good)
+    return len(good), len(bad)
 
 
 def prune(clean: Path, keep: set[Path]) -> int:

@@ -61,7 +61,7 @@ def test_write_promote_and_maps(spark, tree, capsys):
     assert manifest.is_verified(tree / "inbox/clean/_a.md") and len(manifest.read()) == 2
     saved = json.loads((tree / ".local/pii-map.json").read_text())
     assert saved["format"] == "fernet-v1"
-    data = mapstore.decrypt_payload(saved, KEY)
+    data = mapstore.Envelope.open(saved, KEY)
     assert data["counters"]["email"] == 1 and data["names"]["Sam"] == "PERSON_001" and data["orgs"] == {"Esprit": "ORG_001"}
     assert "hits" in json.loads((tree / ".local/pii-map-audit.jsonl").read_text())["counts"]
     (tree / "inbox/raw/x.pdf").unlink()
@@ -157,3 +157,49 @@ def test_stream(spark, tmp_path):
         intake.start(spark.readStream.schema("file_ord long, text string").parquet(str(src)), str(state)).awaitTermination(120)
         got = spark.read.parquet(f"{state}/documents/batch={n}").select(F.col("text")).first()[0]
         assert got == ("one user_001@example.test", "two user_001@example.test user_002@example.test")[n]
+
+
+def test_a_dry_run_promotes_nothing(spark, tmp_path, capsys):
+    from palimpsest import cli
+
+    (tmp_path / "inbox" / "raw").mkdir(parents=True)
+    clean = tmp_path / "inbox" / "clean"
+    clean.mkdir()
+    (clean / "a.md").write_text("fine")
+    manifest = staging.Manifest(tmp_path)
+    manifest.record([clean / "a.md"])
+    before = manifest.read()
+    args = ["--root", str(tmp_path), "--promote-to", "out"]
+    assert cli.main([*args, "--dry-run"], spark) == 0 and "dry-run" in capsys.readouterr().out
+    assert (clean / "a.md").exists() and not (tmp_path / "out").exists() and manifest.read() == before
+    assert cli.main([*args, "--keep-clean"], spark) == 0 and (clean / "a.md").exists() and (tmp_path / "out" / "a.md").exists()
+    manifest.record([clean / "a.md"])
+    (clean / "b.md").write_text("not in the manifest")
+    assert cli.main(args, spark) == 2 and (clean / "a.md").exists()
+    (clean / "b.md").unlink()
+    assert cli.main(args, spark) == 0 and not (clean / "a.md").exists()
+    assert cli.main([*args, "--dry-run"], spark) == 2  # nothing is staged
+
+
+def test_commit_gate_reads_named_files_and_settings(spark, tmp_path, capsys):
+    import subprocess
+
+    def git(*a):
+        subprocess.run(["git", *a], cwd=tmp_path, check=True, capture_output=True)
+
+    git("init", "-q")
+    story = tmp_path / "src" / "stories" / "S"
+    (story / "source-export").mkdir(parents=True)
+    (story / "t.conf").write_text("write to someone@corp.example")  # no text suffix, but named
+    (story / "x.pdf").write_text("other@corp.example")
+    (story / "source-export" / "e.md").write_text("third@corp.example")
+    (tmp_path / "inbox" / "clean").mkdir(parents=True)
+    (tmp_path / "inbox" / "clean" / ".gitkeep").write_text("")
+    git("add", "-f", ".")
+    (tmp_path / "inbox" / "clean" / ".gitkeep").unlink()  # staged, gone from the tree: empty
+    assert commit_gate.main(["--root", str(tmp_path)], spark) == 1
+    shown = capsys.readouterr()
+    assert '"files": 1' in shown.out and '"hits": 1' in shown.out and "hooksPath" in shown.err
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "pii-allowlist.txt").write_text("someone@corp.example\n")
+    assert commit_gate.main(["--root", str(tmp_path)], spark) == 0

@@ -149,3 +149,32 @@ def test_numbers_grow_and_wrap(spark):
 
 def test_bundle():
     assert Options().technical().kinds() == ["cert", "path", "cmd", "machine", "iban", "phone", "mac", "postcode", "dob"]
+
+
+def test_both_ways_to_the_dictionary_give_the_same(spark):
+    """Accents, decomposed letters, odd capitals and signs, by broadcast and by join."""
+    from palimpsest.operators.options import Options
+
+    users = ["jose", "jos\u00e9", "stra\u00dfe", "\u0130lk", "K\u00e4the", "o'brien", "j.doe", "a-b", "sigma\u03c3"]
+    texts = ["".join(f"<sys_created_by>{u}</sys_created_by> " for u in users)]
+    texts += ["JOSE jose\u0301 jos\u0065\u0301 JOS\u00c9 joses", "STRASSE STRA\u1e9eE stra\u00dfe \u0131lk ilk \u0130LK", "\u212a\u00e4the k\u00c4THE x.k\u00e4the", "O'Brien; J.DOE a-B a-b-c SIGMA\u03c2 sigma\u03a3", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_ord long, text string")
+    for visibility in ("sequential", "global"):
+        out = []
+        for most in (50_000, 0):
+            run = scrub(docs, None, Options(broadcast_entries=most, visibility=visibility))
+            out.append((sorted(map(tuple, run.documents.select("file_ord", "text").collect())), sorted(map(tuple, run.hits.collect()))))
+        assert out[0] == out[1]
+        assert "username_001\u0301" in dict(out[0][0])[1]
+
+
+def test_a_words_fold_covers_case_insensitive_matching():
+    import re
+
+    from palimpsest.functions import passes as P
+
+    letters = [c for c in map(chr, range(0x2C00)) if c.isalpha()]
+    for c in letters:
+        for d in {c.lower(), c.upper(), c.swapcase(), c.casefold()}:
+            if len(d) == 1 and re.fullmatch(re.escape(c), d, re.IGNORECASE):
+                assert P.fold("x" + c) == P.fold("x" + d)
