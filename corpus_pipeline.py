@@ -1,11 +1,19 @@
-"""A training-corpus pipeline: five stages over ``documents``, each written and read again."""
+"""A training-corpus pipeline: five stages over ``documents``, each written and read again.
+
+Defined results: every stage takes null ids, texts and sources, empty and very long texts,
+repeated rows, empty tables and further columns. A null or empty text is scored like any
+other by the first stage, has no words for the next two (so it is no copy, and clean), and
+size 0 in the mix; its tokens are the end id alone. Of rows that repeat an id the second
+stage keeps one. Ties: a score on the threshold is accepted; the least id of a group stays;
+documents that share a hash are mixed together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontaminate, mixing, neardup, quality, wavelet
-from palimpsest.llm.common import stash
+from palimpsest.llm.common import drop_stash, stash
 from palimpsest.llm.queries import table, tokenizer_path
 
 
@@ -50,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_stash(before)  # written anew by then
     return docs

@@ -136,8 +136,9 @@ def mixed_documents(documents: DataFrame, doc_col: str = "doc_id", source_col: s
     """Each document as often as the mix takes it, all columns kept; texts are not shuffled."""
     rows, plan = mixing_plan(documents, doc_col=doc_col, source_col=source_col, **more)
     drop_stash(rows)
-    plan = plan.select(F.col("p").alias("__p"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    out = documents.join(F.broadcast(plan), F.col(f"`{source_col}`").eqNullSafe(F.col("__p")))
-    copies = F.col("__whole") + (stable_hash(F.col(f"`{doc_col}`")) <= F.col("__cut")).cast("long")
-    out = out.withColumn("__one", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    # the caller's columns travel in one struct, where no name can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    out = documents.select(row.alias("row"), F.col(f"`{source_col}`").alias("source"), stable_hash(F.col(f"`{doc_col}`")).alias("h"))
+    out = out.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p")))  # at most max_sources rows
+    copies = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")

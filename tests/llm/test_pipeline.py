@@ -61,3 +61,16 @@ def test_stages(spark, tmp_path):
 def test_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [*[f"op{i}" for i in range(1, 11)], "pipeline"]
+
+
+def test_an_empty_table_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as C
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row int, p int, h int, whole int"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "a b c")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
+    rows = [(i, f"word{i} and more of it", "en", None, 9, i, 2, 3, 4) for i in range(5)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, shape))
+    assert out.columns == [x.split()[0] for x in shape.split(", ")] and {tuple(r) for r in out.collect()} <= set(rows)
