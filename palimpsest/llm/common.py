@@ -5,11 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +113,15 @@ def prefix_sums(df: DataFrame, order_col: str, value_col: str, out_col: str, blo
     )
 
 
-@lru_cache(1)
-def letters_pattern() -> re.Pattern:
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
     """Runs of letters: of word characters those that are no digit, underscore or other number (as ½, ² or Ⅷ)."""
-    other = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(other)}]+")
+    found = _WORDS.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [run for w in found for run in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def trim() -> None:

@@ -32,9 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_sample, letters_pattern, pick
-
-_WORD = letters_pattern()
+from .common import batches_of, bounded_sample, letter_runs, pick
 
 
 class SuffixAutomaton:
@@ -120,7 +118,7 @@ class SuffixAutomaton:
 
 def sample_text(text: str) -> str:
     """A text as it is learnt: lower-cased words between single spaces."""
-    return " " + " ".join(_WORD.findall(text.lower())) + " "
+    return " " + " ".join(letter_runs(text.lower())) + " "
 
 
 class CrossParser:
@@ -153,7 +151,7 @@ class CrossParser:
         """(language, score) of each text."""
         if len(self.number) > self.most:
             self.clear()
-        words = [_WORD.findall((t or "").lower()) for t in texts]
+        words = [letter_runs((t or "").lower()) for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         self._learn(list(set().union(*words).difference(self.number)))
