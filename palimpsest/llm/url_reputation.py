@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stash
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -97,7 +97,8 @@ def host_reputation(
     least, most = strength
     rows = pick(outcomes, [(host_col, "host"), (good_col, "good")]).filter("good is not null and host is not null")
     hosts = rows.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("g"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    # a row per host: every level is counted and fitted from this small table, not from the pages again
+    hosts = stash(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     root = suffixes.agg(((F.coalesce(F.sum("g"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
@@ -110,7 +111,8 @@ def host_reputation(
         return joined.withColumn(f"m_{name}", (F.col("g") + F.col("k") * F.col(parent_mean)) / weight).withColumn(f"w_{name}", weight)
 
     s = level(suffixes, root, [], "m0", "s").select("suffix", "m_s", "w_s")
-    d = level(domains, s.select("suffix", "m_s"), ["suffix"], "m_s", "d").select("domain", "m_d", "w_d")
+    s = stash(s, "suffixes")
+    d = stash(level(domains, s.select("suffix", "m_s"), ["suffix"], "m_s", "d").select("domain", "m_d", "w_d"), "domains")
     h = level(hosts, d.select("domain", "m_d"), ["domain"], "m_d", "h").select("host", "m_h", "w_h", F.col("n").alias("n_h"))
     return h, d, s, root
 
