@@ -9,7 +9,9 @@
    value may hold an earlier kind's token; the others in one.
 5. What is left is counted.
 
-Finding and applying are narrow passes over whole texts. Only documents that hold values
+Finding and applying are narrow passes over whole texts. Each barrier's texts are written
+as a compressed table, of which the next step reads the columns it needs, and deleted once
+the next barrier's are written. Only documents that hold values
 meet the map, by a join on their id; the rest of the texts are never shuffled. The
 dictionary is broadcast while it is small, by a count; a larger one is joined to the
 documents' distinct words.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import passes as P
 from ..functions import textops as t
-from ..plans.cut import cut
+from ..plans.cut import cut, drop_written, written
 from . import allocate as A
 from .ner import recognised_names
 from .options import Options
@@ -160,7 +162,7 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
         return r["file_ord"], r["text"], notes.rows
 
     base = [pa.int64(), pa.string(), _FOUND]
-    first = cut(_each(docs, f"file_ord long, text string, found {_FOUND_DDL}", base, find_addresses))
+    first = written(_each(docs, f"file_ord long, text string, found {_FOUND_DDL}", base, find_addresses))
     found1 = _explode_found(first)
     known = cut(A.allocate(found1.filter("kind = 'email'"), known, secret))
 
@@ -186,7 +188,8 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
         emails = [e for e in r["found"] if e["kind"] == "email"]
         return r["file_ord"], r["text"], emails + notes.rows, status
 
-    second = cut(_each(_with_tokens(first, found1.filter("kind = 'email'"), known), f"file_ord long, text string, found {_FOUND_DDL}, ner_status string", [*base, pa.string()], find_accounts))
+    second = written(_each(_with_tokens(first, found1.filter("kind = 'email'"), known), f"file_ord long, text string, found {_FOUND_DDL}, ner_status string", [*base, pa.string()], find_accounts))
+    drop_written(first)
     found2 = _explode_found(second)
     if options.scrub_orgs and options.orgs:
         rows = [(-1, P.ORGS, i, "org", o, o) for i, o in enumerate(options.orgs) if o.lower() not in allow]
@@ -220,6 +223,7 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
 
     # 4. values found by their form
     kinds = options.kinds()
+    before = second
     own_barrier = [k for k in kinds if k in ("ip", "cert", "path", "cmd", "machine")]
     for group in [[k] for k in own_barrier] + [[k for k in kinds if k not in own_barrier]]:
 
@@ -235,8 +239,9 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
                 text = P.value_pass(text, kind, allow, tokens.give, hits.log)
             return r["file_ord"], r["original"], text, hits.rows, r["ner_status"]
 
-        noted = cut(_each(state, f"{state_ddl}, found {_FOUND_DDL}", [*state_types, _FOUND], find_values))
-        found = _explode_found(noted)
+        noted = written(_each(state, f"{state_ddl}, found {_FOUND_DDL}", [*state_types, _FOUND], find_values))
+        drop_written(before)
+        before, found = noted, _explode_found(noted)
         if not found.isEmpty():
             known = cut(A.allocate(found, known, secret))
         state = _each(_with_tokens(noted, found, known), state_ddl, state_types, put_values)
@@ -246,7 +251,8 @@ def scrub(documents: DataFrame, pii_map: DataFrame | None = None, options: Optio
         rest = [{"kind": k, "value": v} for k, v in t.residuals(r["text"], allow, options.nl_id, options.p2)]
         return (*(r[k] for k in ("file_ord", "original", "text", "hits", "ner_status")), rest)
 
-    final = cut(_each(state, f"{state_ddl}, residual {_PAIRS_DDL}", [*state_types, _PAIRS], leftovers))
+    final = written(_each(state, f"{state_ddl}, residual {_PAIRS_DDL}", [*state_types, _PAIRS], leftovers))
+    drop_written(before)
     hits = final.select("file_ord", F.explode("hits").alias("h")).select("file_ord", "h.pass", "h.seq", "h.kind", "h.original", "h.replacement")
     rest = final.select("file_ord", F.explode("residual").alias("r")).select("file_ord", "r.kind", "r.value")
     return Scrubbed(final.select("file_ord", "original", "text", "ner_status"), hits, rest, known)
