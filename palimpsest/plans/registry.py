@@ -154,6 +154,8 @@ def made(name: str, spark_text: str, array_sql: str, detect) -> None:
 K9 = "lpad(cast(c_custkey as string), 9, '0')"
 _VALID_BSN = "list_filter({v}, lambda x: length(x) between 8 and 9 and lpad(x, 9, '0') <> '000000000' and (list_sum([cast(substr(lpad(x, 9, '0'), i, 1) as integer) * (10 - i) for i in range(1, 9)]) - cast(substr(lpad(x, 9, '0'), 9, 1) as integer)) % 11 = 0)"
 made("bsn_valid", f"concat('bsn: ', {K9}, ' x')", _VALID_BSN.format(v=r"regexp_extract_all(text, '(?i)\b(?:bsn|burgerservicen(?:ummer)?)\b\s*[:=]?\s*(\d{8,9})\b', 1)"), C.bsns)
+made("bsn_bare_find", f"concat('nr ', {K9}, ' of 1', {K9})", _VALID_BSN.format(v=r"regexp_extract_all(text, '(?:^|[^0-9])([0-9]{{9}})(?:[^0-9]|$)', 1)".replace("{{", "{").replace("}}", "}")), lambda t: C.bsns(t, bare=True))
+made("path_windows_find", "concat('at C:', chr(92), 'Users', chr(92), 'u', cast(c_custkey as string), chr(92), 'x.log end')", r"regexp_extract_all(text, '[A-Za-z]:\\[^\s]+')", C.paths)
 made("mac_find", f"concat('mac 00:1B:44:', substr({K9}, 4, 2), ':', substr({K9}, 6, 2), ':', substr({K9}, 8, 2), ' end')", r"regexp_extract_all(text, '\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b')", C.macs)
 made("phone_find", f"concat('tel +31 6 ', substr({K9}, 2, 8), ' of 06-', substr({K9}, 2, 8))", r"regexp_extract_all(text, '(?:\+31[\s\-.]?(?:\d[\s\-.]?){8,9}\d|0\d[\s\-.]?(?:\d[\s\-.]?){7,8}\d)')", C.phones)
 made("postcode_find", f"concat('Kerkstraat ', cast(c_custkey % 90 + 1 as string), ', ', cast(1000 + c_custkey % 8999 as string), ' AB end')", r"regexp_extract_all(text, '(?i)\b([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s\-'']{2,40}\s+\d{1,5}[a-zA-Z]?)\s*,?\s*([1-9]\d{3}\s?[A-Za-z]{2})\b')", C.street_postcodes)
@@ -331,6 +333,26 @@ def per_file_summary(spark, sf_dir):
     return out.select("file_ord", "hits", _pairs(F.col("hits_by_kind")).alias("by_kind"))
 
 
+@query(f"with h as (select file_ord, count(*) as hits from ({HITS_SQL}) group by file_ord) select 'f' || (97 - file_ord) as file, cast(hits as bigint) as hits, cast(row_number() over (order by hits desc, 'f' || (97 - file_ord)) as bigint) as place from h")
+def per_file_order(spark, sf_dir):
+    """The summary's rows in their order: most hits first, then by name."""
+    from pyspark.sql import Window as W
+
+    names = spark.range(50).select(F.col("id").alias("file_ord"), F.concat(F.lit("f"), (97 - F.col("id")).cast("string")).alias("rel_path"))
+    out = R.per_file_summary(_hits(spark, sf_dir), spark.createDataFrame([], "file_ord long, kind string, value string"), names)
+    placed = out.select("file", "hits", F.monotonically_increasing_id().alias("at"))  # follows the sorted partitions
+    return placed.select("file", "hits", F.row_number().over(W.orderBy("at")).cast("long").alias("place"))
+
+
+@query("select * from (values ('all off', 'off'), ('some skipped', 'skipped'), ('one ran', 'ok')) t(run, ner_status)")
+def ner_status_fold(spark, sf_dir):
+    """The recogniser's state of a run over all customers, from each one's."""
+    one = F.col("c_custkey")
+    runs = {"all off": F.lit("off"), "some skipped": F.when(one % 2 == 0, "skipped").otherwise("off"), "one ran": F.when(one == 1, "ok").otherwise("skipped")}
+    folded = [R.ner_status(table(spark, sf_dir, "customer").select(s.alias("ner_status"))).select(F.lit(run).alias("run"), "ner_status") for run, s in runs.items()]
+    return folded[0].unionAll(folded[1]).unionAll(folded[2])
+
+
 @query(f"""
 with c as (select '+31 6 ' || lpad(cast(c_custkey % 100 as varchar), 8, '1') as v from customer), m as (select 'u' || (c_custkey % 70) || '@corp.example' as v from customer)
 select (select count(distinct v) from m)::bigint as residual_email, 0::bigint as residual_iban, (select count(distinct v) from c)::bigint as residual_phone, 0::bigint as residual_bsn, 0::bigint as residual_mac, 0::bigint as residual_postcode, 0::bigint as residual_dob,
@@ -443,6 +465,23 @@ def manifest_upsert(spark, sf_dir):
     return staging.upsert(manifest.select("rel_path", "sha256"), written).select("rel_path", "sha256")
 
 
+@query("select 'inbox/clean/' || p_partkey || '.md' as rel_path, sha256(p_name) as sha256 from part where p_partkey % 2 = 0 and p_partkey % 3 = 0 union all select 'docs/' || p_partkey || '.md', sha256(p_name) from part where p_partkey % 2 = 1")
+def manifest_retain(spark, sf_dir):
+    """Staging keys stay only where the run wrote them."""
+    path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "inbox/clean/").otherwise("docs/"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    manifest = table(spark, sf_dir, "part").select(path.alias("rel_path"), F.sha2("p_name", 256).alias("sha256"), "p_partkey")
+    return staging.retain(manifest.select("rel_path", "sha256"), manifest.filter("p_partkey % 3 = 0"))
+
+
+@query("select p_partkey, p_partkey % 7 in (0, 1, 2) as output from part")
+def intake_output(spark, sf_dir):
+    """Which paths lie where the engine writes, placeholders aside."""
+    folders = ["inbox/clean/", "Inbox/Clean/", "src/stories/S/intake-clean/", "inbox/raw/", "docs/", "inbox/cleaner/", "inbox/clean/.gitkeep"]
+    folder = F.element_at(F.array(*[F.lit(f) for f in folders]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    path = F.when(F.col("p_partkey") % 7 == 6, folder).otherwise(F.concat(folder, F.col("p_partkey").cast("string"), F.lit(".md")))
+    return table(spark, sf_dir, "part").select("p_partkey", staging.is_intake_output(path).alias("output"))
+
+
 @query("select * from (values ('STORY-12', 'src/stories/STORY-12/intake-clean'), ('stry7', 'src/stories/stry7/intake-clean'), ('x', null)) t(spec, target)")
 def story_target(spark, sf_dir):
     df = spark.createDataFrame([("STORY-12",), ("stry7",), ("x",)], "spec string")
@@ -493,6 +532,7 @@ VALUES = (
 )
 scrubbed("name_scrub", f"concat('| Reporter | ', {PERSON}, ' |\nthen ', lower({PERSON}), ' called ', {PERSON})", f"concat('| Reporter | PERSON_', {NUMBER}, ' |\nthen PERSON_', {NUMBER}, ' called PERSON_', {NUMBER})", expand_name_parts=False)
 scrubbed("org_scrub", "concat('Esprit and DUSTIN of ', cast(n_nationkey as string))", "concat('ORG_001 and ORG_002 of ', cast(n_nationkey as string))", orgs=("Esprit", "Dustin", "Absent"))
+scrubbed("org_longest_scrub", "concat('Esprit Holding and Esprit of ', cast(n_nationkey as string))", "concat('ORG_002 and ORG_001 of ', cast(n_nationkey as string))", orgs=("Esprit", "Esprit Holding"))
 scrubbed("username_scrub", "concat('<sys_created_by>User', cast(n_nationkey as string), '</sys_created_by> by user', cast(n_nationkey as string))", f"concat('<sys_created_by>username_', {NUMBER}, '</sys_created_by> by username_', {NUMBER})")
 scrubbed("login_scrub", "concat('<sysevent><name>login</name><parm1>usr', cast(n_nationkey as string), '</parm1><parm2>10.0.0.1</parm2></sysevent>')", f"concat('<sysevent><name>login</name><parm1>username_', {NUMBER}, '</parm1><parm2>10.0.0.1</parm2></sysevent>')")
 scrubbed("name_address_scrub", f"concat('From: ', {PERSON}, ' <u', cast(n_nationkey as string), '@corp.example>, noreply@example.org')", f"concat('From: PERSON_', {NUMBER}, ' <user_', {NUMBER}, '@example.test>, noreply@example.org')")
