@@ -104,7 +104,13 @@ def _explode_found(df: DataFrame) -> DataFrame:
 
 
 def _with_tokens(df: DataFrame, found: DataFrame, pii_map: DataFrame) -> DataFrame:
-    """Add each document's own tokens; documents without values are not shuffled."""
+    """Add each document's own tokens; documents without values are not shuffled.
+
+    Where no document holds any, nothing is joined: a join with an empty side leaves its other
+    side's stage behind, which would read on after its table is deleted.
+    """
+    if found.isEmpty():
+        return df.withColumn("tokens", F.lit(None).cast("array<struct<kind:string,key:string,token:string>>"))
     entry = F.struct("kind", "key", "token")
     per_doc = found.select("file_ord", "kind", "key").distinct().join(pii_map.select("kind", "key", "token"), ["kind", "key"]).groupBy("file_ord").agg(F.collect_list(entry).alias("tokens"))
     some = df.filter(F.size("found") > 0).join(per_doc, "file_ord", "left")

@@ -1,5 +1,7 @@
 """Text in, text out: the engine's behaviour on small documents."""
 
+from pathlib import Path
+
 import pytest
 
 from palimpsest.operators import allocate as A
@@ -178,3 +180,16 @@ def test_a_words_fold_covers_case_insensitive_matching():
         for d in {c.lower(), c.upper(), c.swapcase(), c.casefold()}:
             if len(d) == 1 and re.fullmatch(re.escape(c), d, re.IGNORECASE):
                 assert P.fold("x" + c) == P.fold("x" + d)
+
+
+def test_only_the_last_barrier_stays(spark):
+    def kept():
+        folder = spark.sparkContext.getCheckpointDir()
+        return set(Path(folder.removeprefix("file:").replace("//", "/")).glob("written-*")) if folder else set()
+
+    before = kept()
+    docs = spark.createDataFrame([(0, "mail a@corp.example from 10.1.2.3"), (1, None), (2, "nothing")], "file_ord long, text string")
+    run = scrub(docs, None, Options(ip=True))
+    assert [r["text"] for r in run.documents.orderBy("file_ord").collect()] == ["mail user_001@example.test from 203.0.113.2", "", "nothing"]
+    assert len(kept() - before) == 1
+    assert run.hits.count() == 2
