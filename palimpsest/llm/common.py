@@ -70,20 +70,25 @@ def stable_hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def bounded_sample(labelled: DataFrame, id_col: str, group_col: str, bound: int) -> DataFrame:
+def bounded_sample(labelled: DataFrame, id_col: str, group_col: str, bound: int, cells: int = 256) -> DataFrame:
     """At most ``bound`` rows of each group: those with the least hash of their id.
 
-    Two light passes: a count for each group gives a hash threshold that keeps about
-    four times the bound, and only those rows are ranked. So no more than a few
-    multiples of the bound are shuffled, whatever the table's size.
+    ``labelled`` holds an id once a group (many rows of one id share their hash). A count for each group gives a hash threshold that keeps about four times the bound;
+    only those rows are shuffled, whatever the table's size. They are ranked inside
+    ``cells`` equal ranges of the hash, to which the counts of the ranges before are
+    added, so that a group with most of the rows is ranked by many tasks.
     """
-    span = float(2**60)
     rows = labelled.withColumn("__h", stable_hash(F.col(id_col)))
     counts = rows.groupBy(F.col(group_col).alias("__group")).agg(F.count("*").alias("__n"))
-    near = F.col("__h") <= F.least(F.lit(1.0), F.lit(4.0 * bound) / F.col("__n")) * F.lit(span)
-    w = W.partitionBy(group_col).orderBy("__h", id_col)
-    ranked = rows.join(counts, F.col(group_col).eqNullSafe(F.col("__group"))).filter(near).withColumn("__rank", F.row_number().over(w))
-    return ranked.filter(F.col("__rank") <= bound).drop("__h", "__rank", "__group", "__n")
+    kept = F.least(F.lit(1.0), F.lit(4.0 * bound + 32) / F.col("__n")) * F.lit(float(2**60))
+    near = rows.join(counts, F.col(group_col).eqNullSafe(F.col("__group"))).withColumn("__cell", F.floor(F.col("__h") / kept * cells))
+    near = near.filter(F.col("__h") <= kept).repartition("__group", "__cell")
+    before = W.partitionBy("__of").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    sums = near.groupBy(F.col("__group").alias("__of"), F.col("__cell").alias("__at")).agg(F.count("*").alias("__here"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__here").over(before), F.lit(0))).filter(F.col("__before") < bound)
+    ranked = near.withColumn("__rank", F.row_number().over(W.partitionBy("__group", "__cell").orderBy("__h", id_col)))
+    found = ranked.join(sums, F.col("__group").eqNullSafe(F.col("__of")) & (F.col("__cell") == F.col("__at")))
+    return found.filter(F.col("__before") + F.col("__rank") <= bound).select(*labelled.columns)
 
 
 def batches_of(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
