@@ -73,9 +73,9 @@ def stable_hash(*cols: Column) -> Column:
 def bounded_sample(labelled: DataFrame, id_col: str, group_col: str, bound: int, cells: int = 256) -> DataFrame:
     """At most ``bound`` rows of each group: those with the least hash of their id.
 
-    ``labelled`` holds an id once a group (many rows of one id share their hash). A count for each group gives a hash threshold that keeps about four times the bound;
-    only those rows are shuffled, whatever the table's size. They are ranked inside
-    ``cells`` equal ranges of the hash, to which the counts of the ranges before are
+    ``labelled`` holds an id once a group (many rows of one id share their hash). A count
+    for each group gives a hash threshold that keeps about four times the bound; only
+    those rows are shuffled, whatever the table's size. They are ranked inside ``cells`` equal ranges of the hash, to which the counts of the ranges before are
     added, so that a group with most of the rows is ranked by many tasks.
     """
     rows = labelled.withColumn("__h", stable_hash(F.col(id_col)))
