@@ -39,3 +39,26 @@ def test_plain_matching_equals_the_patterns():
         for words, pattern in ((True, rf"\b{re.escape(key)}\b"), (False, re.escape(key))):
             want = re.sub(pattern, lambda m: f"<{m[0]}{m.start()}>", text, flags=re.IGNORECASE)
             assert P._each_match(text, key, words, lambda whole, _, start, end: f"<{whole}{start}>") == want
+
+
+def test_values_of_columns_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import columns as C
+
+    for made, times in ((C.first_by(F.split(F.reverse("x"), ","), F.lower), 1), (C.looks_like_name(F.reverse("x")), 1), (C.harvest_bullets(F.reverse("x")), 2)):
+        plan = spark.createDataFrame([("b,a",)], "x string").select(made.alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("reverse(") == times  # of bullets, a pass for labels and one for bodies
+    values = [["B", "a", "b", "A", "", "é", "É"], [], None]
+    df = spark.createDataFrame([(v,) for v in values], "v array<string>")
+    assert [r[0] for r in df.select(C.first_by(F.col("v"), F.lower)).collect()] == [["B", "a", "", "é"], [], None]
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    from palimpsest.plans.cut import spread
+
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    out = spread(spark.read.parquet(f"{tmp_path}/t"), "id")
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 5000 and max(sizes) < 5000 / 8 and out.distinct().count() == 5000
+    assert spread(out, "id").rdd.getNumPartitions() == len(sizes) and spread(spark.range(3), "id").count() == 3
