@@ -4,10 +4,12 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
 from palimpsest.functions import passes as P
 from palimpsest.operators.options import Options
 from palimpsest.operators.scrub import _with_dictionary
+from palimpsest.plans import registry
 
 
 def test_names_that_share_a_word_are_told_apart(spark):
@@ -62,3 +64,15 @@ def test_one_row_group_is_spread(spark, tmp_path):
     sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 5000 and max(sizes) < 5000 / 8 and out.distinct().count() == 5000
     assert spread(out, "id").rdd.getNumPartitions() == len(sizes) and spread(spark.range(3), "id").count() == 3
+
+
+@pytest.mark.parametrize(("name", "want"), [
+    ("ipv6_scrub_customers", "at 2001:db8::{0:x} and ::1 or 2001:db8::5 end"),
+    ("postcode_scrub_customers", "9999 XX{0:02d} end"),
+    ("value_scrub_customers", "mac 00:00:5e:00:53:{0:02x} tel PHONE_{0:03d} dob: 1900-01-02"),
+])
+def test_values_made_of_large_keys(spark, tmp_path, name, want):
+    keys = [0, 1, 999, 65535, 65536, 65537, 99_999, 100_000, 131_072, 999_999, 1_000_000, 1_000_001, 5_399_999, 10_065_536]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    out = {r["file_ord"]: r["text"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert out == {k: want.format(n) for n, k in enumerate(keys, 1)}
