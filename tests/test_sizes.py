@@ -76,3 +76,13 @@ def test_values_made_of_large_keys(spark, tmp_path, name, want):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     out = {r["file_ord"]: r["text"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     assert out == {k: want.format(n) for n, k in enumerate(keys, 1)}
+
+
+def test_the_table_function_reads_one_row_group_in_many_tasks(spark, tmp_path):
+    texts = ["a@b.co of fe80::1 and 1:2:3:4:5:6:7:8", "Kerkstraat 12, 1234 AB", "::1 at ::ffff:2 or 10.1.2.3", None, "1:2:3:4:5:6:7", "no 1234 AB"]
+    docs = spark.createDataFrame([(i, texts[i % 6]) for i in range(1200)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["find_pii_table_function"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 8
+    found = {i: [(r["kind"], r["value"]) for r in out.filter(f"doc_id = {i}").collect()] for i in range(6)}
+    assert found == {0: [("email", "a@b.co"), ("ip", "fe80::1"), ("ip", "1:2:3:4:5:6:7:8")], 1: [("postcode", "Kerkstraat 12, 1234 AB")], 2: [("ip", "10.1.2.3"), ("ip", "::ffff:2")], 3: [], 4: [], 5: []}
