@@ -86,3 +86,11 @@ def test_the_table_function_reads_one_row_group_in_many_tasks(spark, tmp_path):
     assert out.rdd.getNumPartitions() > 8
     found = {i: [(r["kind"], r["value"]) for r in out.filter(f"doc_id = {i}").collect()] for i in range(6)}
     assert found == {0: [("email", "a@b.co"), ("ip", "fe80::1"), ("ip", "1:2:3:4:5:6:7:8")], 1: [("postcode", "Kerkstraat 12, 1234 AB")], 2: [("ip", "10.1.2.3"), ("ip", "::ffff:2")], 3: [], 4: [], 5: []}
+
+
+def test_the_engine_spreads_documents_of_one_row_group(spark, tmp_path):
+    from palimpsest.operators.scrub import scrub
+
+    spark.range(1200).selectExpr("id as file_ord", "'plain' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    run = scrub(spark.read.parquet(f"{tmp_path}/documents.parquet"), None, Options())
+    assert len(run.documents.inputFiles()) > 8 and run.documents.count() == 1200  # a file for each task
