@@ -94,3 +94,13 @@ def test_the_engine_spreads_documents_of_one_row_group(spark, tmp_path):
     spark.range(1200).selectExpr("id as file_ord", "'plain' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     run = scrub(spark.read.parquet(f"{tmp_path}/documents.parquet"), None, Options())
     assert len(run.documents.inputFiles()) > 2 and run.documents.count() == 1200  # a file for each task
+
+
+def test_a_broadcast_dictionary_is_small():
+    import pickle
+
+    keys = [f"person{i}" for i in range(20_000)]
+    known = P.Dictionary(pa.table({"kind": ["username"] * 20_000, "key": keys, "token": keys, "file_ord": range(20_000)}))
+    known = pickle.loads(pickle.dumps(known))
+    held = sum(c.nbytes for c in (known.kind, known.key, known.token, known.file_ord, known.units, known.order))
+    assert held < 80 * 20_000 and known.near("of Person77", 77) == [("username", "person77", "person77")] and known.near("person77", 76) == []
