@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, prefix_sums, stash, trim
+from .common import mix64, pick, prefix_sums, stash, trim
 
 MANY_SHARDS = 500_000
 BATCH_BYTES = 4_000_000
@@ -263,54 +262,103 @@ def _tokenizer(path: str):
 
 
 #: A run of letters of the first 256 code points, then signs other than the apostrophe.
-_LETTERS_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([\x00-&(-/:-@\[-`{-\x7f]*)")
+_LETTERS_SIGNS = r"^(?P<run>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)(?P<sign>[\x00-&(-/:-@\[-`{-\x7f]*)$"
+#: The bytes of a word that belong to a text of so many.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _keys(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's bytes and their number in two words; beyond 15 bytes, 120 bits of its digest."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    data = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    low = words[start] & _FIRST_BYTES[np.minimum(size, 8)]
+    high = words[start + 8] & _FIRST_BYTES[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts.take(pa.array(long)).to_pylist())), "<u8").reshape(-1, 2)
+        low[long], high[long] = digests[:, 0], digests[:, 1] | np.uint64(255 << 56)
+    return low, high
+
+
+def _roomy(a: np.ndarray, used: int, n: int) -> np.ndarray:
+    """The array, or a longer one that starts with what of it is used, with room for ``n``."""
+    return a if n <= len(a) else np.concatenate([a[:used], np.empty(max(n, 2 * len(a)) - used, a.dtype)])
 
 
 class _Known:
-    """Id sequences by the 128-bit digest of their text, in sorted arrays: some 40 bytes an entry.
+    """Id sequences of texts, in a hash table of arrays: some 45 bytes an entry. The empty text has no ids.
 
-    Beyond ``most`` entries, or ``most_bytes`` of ids, the memory is emptied.
+    Beyond ``most`` entries, or ``most_bytes`` of ids, the memory is emptied. ``learn`` makes
+    a list of bytes of a list of texts; with ``columns``, an Arrow array of one.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int, most_bytes: int = 64_000_000) -> None:
-        self.learn, self.most, self.most_bytes = learn, most, most_bytes
+    def __init__(self, learn: Callable, most: int, most_bytes: int = 64_000_000, columns: bool = False) -> None:
+        self.learn, self.most, self.most_bytes, self.columns = learn, most, most_bytes, columns
         self.clear()
 
     def clear(self) -> None:
-        self.high, self.low = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.stop, self.raw = np.empty(0, np.uint32), np.empty(0, np.uint32), b""
+        self.size, self.slots = 0, np.full(4096, -1, np.int32)
+        self.low, self.high = np.empty(1024, np.uint64), np.empty(1024, np.uint64)
+        self.stops, self.raw = np.zeros(1025, np.int64), np.empty(8192, np.uint8)
+        self._add(np.zeros(1, np.uint64), np.zeros(1, np.uint64), pa.array([b""], pa.large_binary()))
 
     def __len__(self) -> int:
-        return len(self.high)
+        return self.size
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix64(low ^ mix64(high)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Each key's entry, or -1."""
+        out, left, slot = np.full(len(low), -1, np.int64), np.arange(len(low)), self._home(low, high)
+        while len(left):
+            entry = self.slots[slot]
+            same = (entry >= 0) & (self.low[entry] == low[left]) & (self.high[entry] == high[left])
+            out[left[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _add(self, low: np.ndarray, high: np.ndarray, found: pa.Array) -> np.ndarray:
+        """The entries of new keys."""
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+        old, n, used = self.size, self.size + len(low), int(self.stops[self.size])
+        self.low, self.high, self.stops = _roomy(self.low, old, n), _roomy(self.high, old, n), _roomy(self.stops, old + 1, n + 1)
+        self.low[old:n], self.high[old:n] = low, high
+        self.stops[old + 1 : n + 1] = used + ends[1:] - ends[0]
+        self.raw = _roomy(self.raw, used, int(self.stops[n]))
+        self.raw[used : self.stops[n]] = np.frombuffer(found.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.size, left = n, np.arange(old, n)
+        if 2 * n > len(self.slots):
+            self.slots, left = np.full(1 << (4 * n).bit_length() - 1, -1, np.int32), np.arange(n)
+        slot = self._home(self.low[left], self.high[left])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of those that meet in a slot one stays
+            on = self.slots[slot] != left
+            left, slot = left[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return np.arange(old, n)
+
+    def of(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
         """The ids of distinct texts, as bytes; those not met before are learnt."""
-        if not texts:
-            return []
-        if len(self) > self.most or len(self.raw) > self.most_bytes:
+        if self.size > self.most or self.stops[self.size] > self.most_bytes:
             self.clear()
-        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
-        order = np.argsort(digests[:, 0])  # searching in order keeps to near memory
-        high, low = digests[order, 0], digests[order, 1]
-        at = np.searchsorted(self.high, high)
-        out = np.empty(len(texts), object)
-        known = np.zeros(len(texts), bool)
-        if len(self):
-            near = np.minimum(at, len(self) - 1)
-            known = (self.high[near] == high) & (self.low[near] == low)
-            near = near[known]
-            out[order[known]] = [self.raw[a:b] for a, b in zip(self.start[near].tolist(), self.stop[near].tolist(), strict=True)]
-        new = order[~known]
+        low, high = _keys(texts)
+        at = self._find(low, high)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            found = self.learn([texts[i] for i in new.tolist()])
-            out[new] = found
-            stops = len(self.raw) + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-            starts = np.concatenate([[len(self.raw)], stops[:-1]])
-            at = at[~known]
-            self.high, self.low = np.insert(self.high, at, high[~known]), np.insert(self.low, at, low[~known])
-            self.start, self.stop = np.insert(self.start, at, starts), np.insert(self.stop, at, stops)
-            self.raw += b"".join(found)
-        return out.tolist()
+            some = texts.take(pa.array(new))
+            found = self.learn(some) if self.columns else pa.array(self.learn(some.to_pylist()), pa.large_binary())
+            at[new] = self._add(low[new], high[new], found)
+        known = [None, pa.py_buffer(self.stops[: self.size + 1]), pa.py_buffer(self.raw[: self.stops[self.size]])]
+        return pa.Array.from_buffers(pa.large_binary(), self.size, known).take(pa.array(at))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The same, of and as a list."""
+        return self.of(pa.array(texts, pa.string())).to_pylist()
 
 
 class Encoder:
@@ -332,8 +380,8 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.word_end = np.zeros(1 << self.bits, bool)
         self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.end = self._bytes([end_id])
-        self.pieces, self.runs, self.signs = _Known(self._pieces, most), _Known(self._runs, most), _Known(self._alone, most // 10)
+        self.end = pa.array([self._bytes([end_id])], pa.large_binary())
+        self.pieces, self.runs, self.signs = _Known(self._pieces, most, columns=True), _Known(self._runs, most), _Known(self._alone, most // 10)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -355,23 +403,22 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        match = _LETTERS_SIGNS.fullmatch
-        split = [m.groups() if (m := match(piece)) else ("", piece) for piece in pieces]
-        runs, signs = list({r.lower() for r, _ in split if r}), list({s for _, s in split if s})
-        of_run, of_sign = dict(zip(runs, self.runs.ids(runs), strict=True)), dict(zip(signs, self.signs.ids(signs), strict=True))
-        of_run[""] = of_sign[""] = b""
-        return [of_run[r.lower()] + of_sign[s] for r, s in split]
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        split = pc.extract_regex(pieces, _LETTERS_SIGNS)
+        run = pc.utf8_lower(pc.fill_null(pc.struct_field(split, "run"), "")).dictionary_encode()
+        sign = pc.coalesce(pc.struct_field(split, "sign"), pieces).dictionary_encode()
+        ids = [known.of(part.dictionary).take(part.indices) for known, part in ((self.runs, run), (self.signs, sign))]
+        return pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each has."""
         # Arrow splits and numbers the pieces; only distinct ones are looked up here
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        found = [*self.pieces.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end]
+        found = pa.concat_arrays([self.pieces.of(coded.dictionary), self.end])
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         which = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)  # the end id after each text
-        flat = pa.array(found, pa.large_binary()).take(pa.array(which))
+        flat = found.take(pa.array(which))
         ids = np.frombuffer(flat.buffers()[2], self.kind) if len(which) else np.empty(0, self.kind)
         upto = np.frombuffer(flat.buffers()[1], np.int64)[1 : len(which) + 1] // self.kind.itemsize
         text_ends = upto[ends + np.arange(len(ends))] if len(ends) else ends

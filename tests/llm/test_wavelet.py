@@ -99,3 +99,21 @@ def test_table_from_files(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert V.token_table(docs, tokenizer_path()).collect() == []
+
+
+def test_short_pieces_are_looked_up_without_digests(monkeypatch):
+    calls = []
+    digest = V.xxhash.xxh3_128_digest
+    monkeypatch.setattr(V.xxhash, "xxh3_128_digest", lambda x: calls.append(x) or digest(x))
+    e = V.Encoder(tokenizer_path(), 1)
+    e.encode(pa.array(["short words alone, é and all of them", None]))
+    assert not calls and len(e.pieces) == 9  # eight pieces and the empty one
+
+
+def test_texts_that_look_alike_are_known_apart():
+    known = V._Known(lambda texts: [x.encode() for x in texts], most=100_000)
+    some = ["", "\x00", "\x00\x00", "a", "a\x00", "a" * 8, "a" * 9, "a" * 15, "a" * 16, "a" * 15 + "b", "a" * 15 + "\x00", "é" * 7, "é" * 8]
+    some += [f"{i:x}" for i in range(0x1000, 0x6000)]
+    for part in (some[::2], some, some[::-1]):
+        assert known.ids(part) == [x.encode() for x in part]
+    assert len(known) == len(some)
