@@ -104,3 +104,13 @@ def test_a_broadcast_dictionary_is_small():
     known = pickle.loads(pickle.dumps(known))
     held = sum(c.nbytes for c in (known.kind, known.key, known.token, known.file_ord, known.units, known.order))
     assert held < 80 * 20_000 and known.near("of Person77", 77) == [("username", "person77", "person77")] and known.near("person77", 76) == []
+
+
+def test_rows_of_nested_columns_are_those_of_arrow():
+    from palimpsest.operators import scrub as S
+
+    notes = [[{"pass": 1, "pos": 2, "kind": "ip", "key": "a", "value": None}] * k for k in (2, 0, 1, 3)]
+    batch = pa.record_batch({"file_ord": range(6), "text": ["a", None, "b", "", "c", "d"], "found": pa.array([None, *notes, None], S._FOUND), "plain": pa.array([[1], [], None, [2], [], []])})
+    for at in range(6):
+        for size in range(7 - at):
+            assert S._rows(batch.slice(at, size)) == batch.slice(at, size).to_pylist()
