@@ -114,3 +114,46 @@ def test_rows_of_nested_columns_are_those_of_arrow():
     for at in range(6):
         for size in range(7 - at):
             assert S._rows(batch.slice(at, size)) == batch.slice(at, size).to_pylist()
+
+
+def test_texts_without_a_patterns_parts_are_not_searched(monkeypatch):
+    from palimpsest.functions import textops as t
+
+    class Unused:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+    for name in ("IPV4", "MACHINE", "IBAN", "PHONE", "BSN_LABELLED", "BSN_BARE", "MAC", "POSTCODE_STREET", "POSTCODE_BARE", "DOB", "TEST_WITH"):
+        monkeypatch.setattr(t, name, Unused())
+    monkeypatch.setattr(t, "PATHS", (Unused(), Unused()))
+    text = "Prose of many words, with a date of birth; chapter 7 and no more. "
+    for kind in P.VALUE_PASSES:
+        assert P.value_pass(text, kind, frozenset(), None, None) == text
+    assert t.residuals(text, frozenset(), True, True) == [] and t.harvest(text, frozenset()) == []
+
+
+def test_what_is_looked_for_first_is_in_every_match():
+    from palimpsest.functions import textops as t
+
+    parts = ["1", "12", "0612345678", "+1 2 3 4 5 6 7 8 9", "+", ".", "1.1.1.1", "٣.٣.٣.٣", ":", "-", "aa:bb:cc:dd:ee:ff", "aa-bb-cc-dd-ee-ff", "/tmp/x", "c:\\x", " ", "ho\u017ft: a", "mach\u0130ne=b", "mach\u0131ne: b", "HOST = c",
+             "te\u017ft with Ann Other", "Tested with Ann Other", "Straat 1 1234 ab", "bsn 111222333", "dob 1-2-99", "NL91ABNA0417164300", "\n"]
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(6000):
+        text = " ".join(rng.choices(parts, k=rng.randint(1, 3)))
+        holds = {
+            "machine": (t.MACHINE, t.may_hold_machine(text)), "ip": (t.IPV4, t.may_hold_ipv4(text)), "test": (t.TEST_WITH, t.may_hold(text, "test")), "mac": (t.MAC, t.find_macs(text)),
+            "phone": (t.PHONE, t.find_phones(text)), "dob": (t.DOB, t.find_dobs(text)), "iban": (t.IBAN, t.digits(text) > 1), "bsn": (t.BSN_LABELLED, t.digits(text) > 1), "postcode": (t.POSTCODE_BARE, t.find_bare_postcodes(text)),
+            "windows": (t.PATHS[0], t.find_paths(text)), "unix": (t.PATHS[1], t.find_paths(text)),
+        }
+        for name, (pattern, said) in holds.items():
+            if pattern.search(text):
+                seen.add(name)
+                assert said, (name, text)
+    assert seen == set(holds)
+
+
+def test_long_and_short_texts_give_the_same_pairs():
+    words = [f"Wörd{i} käthe" for i in range(40)]
+    short = set().union(*(P.units_of(" ".join(words[i : i + 3])) for i in range(38)))
+    assert short == P.units_of(" ".join(words)) and set(P.units_of_key("wörd3 KÄTHE WÖRD4")) <= short
