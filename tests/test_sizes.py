@@ -157,3 +157,14 @@ def test_long_and_short_texts_give_the_same_pairs():
     words = [f"Wörd{i} käthe" for i in range(40)]
     short = set().union(*(P.units_of(" ".join(words[i : i + 3])) for i in range(38)))
     assert short == P.units_of(" ".join(words)) and set(P.units_of_key("wörd3 KÄTHE WÖRD4")) <= short
+
+
+def test_texts_with_values_are_rewritten_by_many_tasks(spark):
+    from palimpsest.operators import scrub as S
+
+    docs = spark.createDataFrame([(i, "x", [(2, 0, "email", f"k{i}", f"k{i}")]) for i in range(400)], f"file_ord long, text string, found {S._FOUND_DDL}")
+    tokens = spark.createDataFrame([("email", f"k{i}", f"T{i}") for i in range(400)], "kind string, key string, token string")
+    out = S._with_tokens(docs, S._explode_found(docs), tokens)
+    sizes = out.filter("size(found) > 0").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 400 and max(sizes) <= 40
+    assert all(r["tokens"] == [("email", f"k{r['file_ord']}", f"T{r['file_ord']}")] for r in out.collect())
