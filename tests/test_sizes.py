@@ -116,6 +116,19 @@ def test_rows_of_nested_columns_are_those_of_arrow():
             assert S._rows(batch.slice(at, size)) == batch.slice(at, size).to_pylist()
 
 
+def test_plain_columns_are_read_by_numpy():
+    from timeit import repeat
+
+    from palimpsest.operators import scrub as S
+
+    strings = pa.array([f"text {i}" for i in range(50_000)])
+    assert min(repeat(lambda: S._values(strings), number=1, repeat=5)) < min(repeat(strings.to_pylist, number=1, repeat=5)) / 2
+    odd = [pa.array(["a\0b", None, "é\U0001f600", ""]), pa.array(["x", None], pa.large_string()), pa.array([1, 2**62], pa.int64()), pa.array([None, -3], pa.int32()), pa.array([], pa.string()), pa.array([True, None])]
+    for column in odd:
+        assert S._values(column) == column.to_pylist() and list(map(type, S._values(column))) == list(map(type, column.to_pylist()))
+        assert S._values(column.slice(1)) == column.slice(1).to_pylist()
+
+
 def test_texts_without_a_patterns_parts_are_not_searched(monkeypatch):
     from palimpsest.functions import textops as t
 
