@@ -181,3 +181,15 @@ def test_texts_with_values_are_rewritten_by_many_tasks(spark):
     sizes = out.filter("size(found) > 0").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 400 and max(sizes) <= 40
     assert all(r["tokens"] == [("email", f"k{r['file_ord']}", f"T{r['file_ord']}")] for r in out.collect())
+
+
+def test_texts_without_values_are_read_by_few_passes(spark, monkeypatch):
+    from palimpsest.operators import scrub as S
+
+    docs = spark.createDataFrame([(i, "x a@b.co tel +31 6 12345678" if i % 100 == 0 else f"Esprit {i}") for i in range(400)], "file_ord long, text string")
+    sizes, real = [], S.written
+    monkeypatch.setattr(S, "written", lambda df: sizes.append((out := real(df)).count()) or out)
+    run = S.scrub(docs, None, Options(orgs=("Esprit",)))
+    assert sizes == [400, 4, 400, 4]  # with addresses, and with values of their form, four each
+    out = {r["file_ord"]: r["text"] for r in run.documents.collect()}
+    assert len(out) == 400 and out[100] == "x user_001@example.test tel PHONE_001" and out[7] == "ORG_001 7"
