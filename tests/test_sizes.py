@@ -183,6 +183,28 @@ def test_texts_with_values_are_rewritten_by_many_tasks(spark):
     assert all(r["tokens"] == [("email", f"k{r['file_ord']}", f"T{r['file_ord']}")] for r in out.collect())
 
 
+def test_letters_of_any_script_are_matched_as_by_the_pattern(monkeypatch):
+    rng = random.Random(6)
+    letters = "aAkK\u212aS\u017fs\u00df\u1e9eiI\u0130\u0131\u03c3\u03c2\u03a3\u00b5\u03bc\u01c5\u01c4\u00e9\u00c9e\u0301\u0345\u0399\u03b9\u1fbe\ufb05\ufb06\U00010428\U00010400 -_1"
+    cases = [["".join(rng.choices(letters, k=rng.randint(*n))) for n in ((0, 20), (1, 3))] for _ in range(6000)]
+    wants = [[re.sub(p, lambda m: f"<{m[0]}{m.start()}>", text, flags=re.IGNORECASE) for p in (rf"\b{re.escape(key)}\b", re.escape(key))] for text, key in cases]
+    assert sum(a != text for (text, _), (a, _) in zip(cases, wants, strict=True)) > 100
+    monkeypatch.setattr(re, "sub", None)  # nothing is compiled for a key
+    for (text, key), want in zip(cases, wants, strict=True):
+        assert [P._each_match(text, key, words, lambda whole, _, start, end: f"<{whole}{start}>") for words in (True, False)] == want
+
+
+def test_a_fold_covers_all_letters_that_match():
+    letters, same = [*map(chr, [*range(0xD800), *range(0xE000, 0x1E960)])], {}
+    for c in letters:
+        same.setdefault(c.casefold(), []).append(c)
+    for c in letters:
+        for d in {c.lower(), c.upper(), c.swapcase(), c.title(), *same[c.casefold()]}:
+            if len(d) == 1 and d != c and P._alike(c, d):
+                assert P._folded("x" + c) == P._folded("x" + d)
+        assert P._folded(c) == P._folded(c).lower() == P._folded(P._folded(c)) == P._fold_letter(c)
+
+
 def test_texts_without_values_are_read_by_few_passes(spark, monkeypatch):
     from palimpsest.operators import scrub as S
 
